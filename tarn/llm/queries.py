@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontam, simhash, substring
+from tarn.llm import decontam, fingerprint, sharding, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprints": fingerprint.op2,
+        "op4_rendezvous_shards": sharding.op4,
         "op5_decontamination": decontam.op5,
+        "op7_warc": warc.op7,
         "op9_substring_dedup": substring.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.OP5_SQL, "op9_substring_dedup": substring.OP9_SQL}
+    return {
+        "op4_rendezvous_shards": sharding.OP4_SQL,
+        "op5_decontamination": decontam.OP5_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op9_substring_dedup": substring.OP9_SQL,
+    }
