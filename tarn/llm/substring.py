@@ -138,7 +138,7 @@ def _by_key(k: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
 
 
 def repeated_starts(keyed: DataFrame, cells: np.ndarray, width: int, size: int) -> DataFrame:
-    """k and s (binary int32): starts of windows that also start earlier. A key may have several rows."""
+    """k and s (binary int32): starts of windows that also start earlier, one row for each key that has any."""
     spark = keyed.sparkSession
     rows, bits = cells.shape[0], (cells.shape[1] * 8).bit_length() - 1
     shared = spark.sparkContext.broadcast(cells)
@@ -156,17 +156,17 @@ def repeated_starts(keyed: DataFrame, cells: np.ndarray, width: int, size: int)
     def passed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h, g, k, s = (np.concatenate(x) for x in zip(*held, strict=True))
         first, later = _firsts(k, s, h, g)
-        to = ((h[first] >> _U(33)) % _U(parts)).astype(np.int64)
+        to = ((h[first] >> _U(33)) % _U(2 * parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         first, to = first[order], to[order]
-        cut = np.searchsorted(to, np.arange(parts + 1))
+        cut = np.searchsorted(to, np.arange(2 * parts + 1))
         full = np.flatnonzero(np.diff(cut))
         each = [first[cut[p] : cut[p + 1]] for p in full]
         if each:
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[i].tobytes() for i in each], pa.binary()) for x in (h, g, k, s.astype(np.int32)))], ["p", "h", "g", "k", "s"])
-        for at in range(0, len(later), 1 << 16):  # no hash: known to be repeats
-            i = later[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([(at >> 16) % parts], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([k[i].tobytes()], pa.binary()), pa.array([s[i].astype(np.int32).tobytes()], pa.binary())], ["p", "h", "g", "k", "s"])
+        for at in range(0, len(later), 1 << 14):  # no hash: known to be repeats
+            i = later[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array([int((h[i[0]] >> _U(20)) % _U(2 * parts))], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([k[i].tobytes()], pa.binary()), pa.array([s[i].astype(np.int32).tobytes()], pa.binary())], ["p", "h", "g", "k", "s"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -200,11 +200,22 @@ def repeated_starts(keyed: DataFrame, cells: np.ndarray, width: int, size: int)
             later = _firsts(k, s, h, g)[1]
             known.append((k[later], s[later]))
         if known:
-            keys, lists = _by_key(*(np.concatenate(x) for x in zip(*known, strict=True)))
+            k, s = (np.concatenate(x) for x in zip(*known, strict=True))
+            to = (scan.mix(k.view(_U), 5) % _U(parts)).astype(np.int32)
+            order = np.argsort(to, kind="stable")
+            head = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
+            each = np.split(order, head[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][head]), pa.array([k[i].tobytes() for i in each], pa.binary()), pa.array([s[i].tobytes() for i in each], pa.binary())], ["d", "k", "s"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.frombuffer(k, np.int64), np.frombuffer(s, np.int32)) for b in batches for k, s in zip(b.column("k").to_pylist(), b.column("s").to_pylist(), strict=True)]
+        if got:
+            keys, lists = _by_key(*(np.concatenate(x) for x in zip(*got, strict=True)))
             for at in range(0, len(keys), 10_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 10_000]), pa.array(lists[at : at + 10_000], pa.binary())], ["k", "s"])
 
-    return keyed.mapInArrow(find, schema).repartition(parts, "p").mapInArrow(settle, "k long, s binary")
+    settled = keyed.mapInArrow(find, schema).repartition(parts, "p").mapInArrow(settle, "d int, k binary, s binary")
+    return settled.repartition(parts, "d").mapInArrow(gather, "k long, s binary")
 
 
 def _kept(words: int, starts: np.ndarray, width: int) -> np.ndarray:
@@ -224,9 +235,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     volume = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = max(LEAST_CELLS.bit_length(), min(MOST_CELLS.bit_length(), (volume // 10).bit_length() + 1)) - 1  # about one anchor in 40 bytes
     repeats = repeated_starts(plain, repeated_cells(plain, width, size, ROWS, bits), width, size)
-    lists = repeats.groupBy("k").agg(F.collect_list("s").alias("s"))
     extra = [F.struct(*[F.col(c) for c in more]).alias("more")] if more else []
-    joined = scan.keyed(docs, key, text, *extra).join(lists, "k", "left").select("k", "t", "s", *(["more"] if more else []))
+    joined = scan.keyed(docs, key, text, *extra).join(repeats, "k", "left").select("k", "t", "s", *(["more"] if more else []))
     schema = joined.schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +248,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             keep = np.ones(len(clean), bool)
             repeats = batch.column("s")
             for i in np.flatnonzero(repeats.is_valid().to_numpy(zero_copy_only=False)):
-                words = _kept(int(n[i]), np.concatenate([np.frombuffer(x, np.int32) for x in repeats[int(i)].as_py()]), width)
+                words = _kept(int(n[i]), np.frombuffer(repeats[int(i)].as_py(), np.int32), width)
                 removed[i] = n[i] - words.sum()
                 lens = ends[first[i] : first[i + 1]] - starts[first[i] : first[i + 1]] + 1  # with the space behind
                 lens[-1:] -= 1
