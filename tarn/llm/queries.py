@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontam, fingerprint, sharding, simhash, substring, warc
+from tarn.llm import decontam, extract, fingerprint, sharding, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_rendezvous_shards": sharding.op4,
         "op5_decontamination": decontam.op5,
         "op7_warc": warc.op7,
+        "op8_html_extraction": extract.op8,
         "op9_substring_dedup": substring.op9,
         "op10_simhash_near_dedup": simhash.op10,
     }
