@@ -201,6 +201,8 @@ def repeated_starts(keyed: DataFrame, cells: np.ndarray, width: int, size: int)
             known.append((k[later], s[later]))
         if known:
             k, s = (np.concatenate(x) for x in zip(*known, strict=True))
+            if not len(k):
+                return
             to = (scan.mix(k.view(_U), 5) % _U(parts)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             head = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
