@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontam, extract, fingerprint, langid, sharding, simhash, substring, warc
+from tarn.llm import decontam, extract, fingerprint, langid, pieces, sharding, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": pieces.op1,
         "op2_fingerprints": fingerprint.op2,
         "op3_language_id": langid.op3,
         "op4_rendezvous_shards": sharding.op4,
