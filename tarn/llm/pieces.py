@@ -40,6 +40,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarn.llm import scan
 
@@ -461,7 +462,7 @@ def decoded(rows: DataFrame, model: str = MODEL, ids: str = "ids") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*names, "decoded"])
                 at = to
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
