@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontam, extract, fingerprint, langid, pieces, sharding, simhash, substring, warc
+from tarn.llm import ctw, decontam, extract, fingerprint, langid, pieces, sharding, simhash, substring, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": langid.op3,
         "op4_rendezvous_shards": sharding.op4,
         "op5_decontamination": decontam.op5,
+        "op6_context_tree": ctw.op6,
         "op7_warc": warc.op7,
         "op8_html_extraction": extract.op8,
         "op9_substring_dedup": substring.op9,
