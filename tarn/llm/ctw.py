@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from tarn.llm import scan
 
-DEPTH, HOT, GRAMS = 4, 1 << 18, 6_000_000
+DEPTH, HOT, GRAMS = 5, 1 << 18, 4_000_000
+#: Bytes of text that one numpy pass takes here, beside the model.
+PART = 2 << 20
 #: Entries that a task gathers before it sums and sends them.
 HELD = 6 << 20
 _U = np.uint64
@@ -115,46 +117,44 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
 
 
+def _up(key: np.ndarray, d: int) -> np.ndarray:
+    """The same byte or decision in the context's last d bytes."""
+    return key & _U((1 << (8 * d + 8)) - 1)
+
+
 class Tree:
-    """The weighted tree from counts of grams."""
+    """The weighted tree from counts of grams. Nodes are kept by depth and decision; where grams are sorted, so are the
+    nodes of each decision."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
         self.depth = depth
-        self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by depth: keys, chance of a one, weight of stopping
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        levels = []
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]] = []  # keys, chance of a one, weight of stopping
+        below: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(depth, -1, -1):
-            c, m = summed(codes & _U((1 << (8 * d + 8)) - 1), n)
-            key, bit, count = [], [], []
+            c, m = summed(_up(codes, d), n)
+            symbol, context, m = c & _U(255), c & ~_U(255), m.astype(np.float64)
+            level, totals = [], []
             for j in range(8):
-                symbol = c & _U(255)
-                key.append((c & ~_U(255)) | _U(1 << j) | (symbol >> _U(8 - j)))
-                bit.append((symbol >> _U(7 - j)) & _U(1))
-                count.append(m)
-            key, bit, count = np.concatenate(key), np.concatenate(bit), np.concatenate(count).astype(np.float64)
-            order = np.argsort(key, kind="stable")
-            key, bit, count = key[order], bit[order] > 0, count[order]
-            head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            ones = np.add.reduceat(np.where(bit, count, 0), head) if len(head) else np.zeros(0)
-            both = np.add.reduceat(count, head) if len(head) else np.zeros(0)
-            key = key[head]
-            own = _lgamma(both - ones + 0.5) + _lgamma(ones + 0.5) - _lgamma(both + 1) - np.log(np.pi)
-            if below is None:
-                total, stop = own, np.ones(len(key))
-            else:
-                up = np.searchsorted(key, self._up(below[0], d))
-                total = np.logaddexp(_HALF + own, _HALF + np.bincount(up, below[1], len(key)))
-                stop = np.exp(np.minimum(_HALF + own - total, 0))
-            below = key, total
-            levels.append((key, (ones + 0.5) / (both + 1), stop))
-        self.nodes = levels[::-1]
+                key = context | _U(1 << j) | (symbol >> _U(8 - j))
+                head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+                key = key[head]
+                ones = np.add.reduceat(np.where(symbol >> _U(7 - j) & _U(1) > 0, m, 0), head) if len(head) else np.zeros(0)
+                both = np.add.reduceat(m, head) if len(head) else np.zeros(0)
+                own = _lgamma(both - ones + 0.5) + _lgamma(ones + 0.5) - _lgamma(both + 1) - np.log(np.pi)
+                stop = None
+                if below:
+                    up = np.searchsorted(key, _up(below[j][0], d))
+                    total = np.logaddexp(_HALF + own, _HALF + np.bincount(up, below[j][1], len(key)))
+                    stop = np.exp(np.minimum(_HALF + own - total, 0)).astype(np.float32)
+                    own = total
+                totals.append((key, own))
+                level.append((key, ((ones + 0.5) / (both + 1)).astype(np.float32), stop))
+            below = totals
+            self.nodes.append(level)
+        self.nodes.reverse()
         self.codes, _ = summed(codes)
-        self.logs = self._logs(self.codes).astype(np.float32)
-
-    @staticmethod
-    def _up(key: np.ndarray, d: int) -> np.ndarray:
-        """The same decision in the context's last d bytes."""
-        return key & _U((1 << (8 * d + 8)) - 1)
+        self.logs = np.concatenate([self._logs(x).astype(np.float32) for x in np.array_split(self.codes, max(1, len(self.codes) >> 18))])
+        self.table = Lookup(self.codes)
 
     def _logs(self, codes: np.ndarray) -> np.ndarray:
         """Log10 of the chance of the last byte of each gram, also of grams never seen."""
@@ -164,25 +164,18 @@ class Tree:
             key = (codes & ~_U(255)) | _U(1 << j) | (symbol >> _U(8 - j))
             p, begun = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
             for d in range(self.depth, -1, -1):
-                keys, one, stop = self.nodes[d]
+                keys, one, stop = self.nodes[d][j]
                 if not len(keys):
                     continue
-                want = self._up(key, d)
+                want = _up(key, d)
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 there = keys[at] == want
-                w = np.where(begun, stop[at], 1.0)  # the deepest context that was seen ends the path
+                w = 1.0 if stop is None else np.where(begun, stop[at], 1.0)  # the deepest context that was seen ends the path
                 p = np.where(there, w * one[at] + (1 - w) * p, p)
                 begun |= there
-            bit = (symbol >> _U(7 - j)) & _U(1)
-            out += np.log10(np.where(bit > 0, p, 1 - p))
+            out += np.log10(np.where(symbol >> _U(7 - j) & _U(1) > 0, p, 1 - p))
         return out
 
-    def compact(self) -> Tree:
-        """Smaller numbers, for sending."""
-        self.nodes = [(k, p.astype(np.float32), w.astype(np.float32)) for k, p, w in self.nodes]
-        self.table = Lookup(self.codes)
-        return self
-
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log10 probability of each text."""
         codes = grams(data, offsets, self.depth)
@@ -228,7 +221,7 @@ def counted(training: DataFrame, depth: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in each], pa.int32()), pa.array([kind] * len(each), pa.int32()), pa.array([codes[i].tobytes() for _, i in each], pa.binary()), pa.array([n[i].astype(np.int64).tobytes() for _, i in each], pa.binary())], ["p", "kind", "codes", "ns"])
                     parts.clear()
 
-        for batch, data, offsets in scan.slices(batches, "t"):
+        for batch, data, offsets in scan.slices(batches, "t", PART):
             h, _ = _words(data, offsets)
             held[0] += [summed(h), (np.array([END]), np.array([batch.num_rows]))]
             held[1].append(summed(grams(data, offsets, depth)))
@@ -274,7 +267,7 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     tokens, different = (size[0]["total"], size[0]["entries"]) if 0 in size else (0, 0)
     got = [(np.frombuffer(r["codes"], _U), np.frombuffer(r["ns"], np.int64)) for r in counts.where("kind = 1").select("codes", "ns").collect()]
     codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
-    tree = spark.sparkContext.broadcast(Tree(codes, n, depth).compact())
+    tree = spark.sparkContext.broadcast(Tree(codes, n, depth))
     got = [np.frombuffer(r["hot"], _U).reshape(2, -1) for r in counts.where("kind = 0").select("hot").collect()]
     hot, often = np.concatenate(got, 1) if got else np.zeros((2, 0), _U)
     order = np.argsort(hot)
@@ -300,7 +293,7 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
             for at in range(0, len(each), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*each[at : at + 16], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names)
 
-        for batch, data, offsets in scan.slices(batches, "t"):
+        for batch, data, offsets in scan.slices(batches, "t", PART):
             h, first = _words(data, offsets)
             doc = np.zeros(batch.num_rows, _DOC)
             doc["k"] = batch.column("k").to_numpy(zero_copy_only=False)
