@@ -166,7 +166,7 @@ def repeated_starts(keyed: DataFrame, cells: np.ndarray, width: int, size: int)
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array([x[i].tobytes() for i in each], pa.binary()) for x in (h, g, k, s.astype(np.int32)))], ["p", "h", "g", "k", "s"])
         for at in range(0, len(later), 1 << 14):  # no hash: known to be repeats
             i = later[at : at + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array([int((h[i[0]] >> _U(20)) % _U(2 * parts))], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([k[i].tobytes()], pa.binary()), pa.array([s[i].astype(np.int32).tobytes()], pa.binary())], ["p", "h", "g", "k", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(scan.mix(np.array([k[i[0]] + 7919 * s[i[0]] + at]).view(_U), 13)[0] % _U(2 * parts))], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([k[i].tobytes()], pa.binary()), pa.array([s[i].astype(np.int32).tobytes()], pa.binary())], ["p", "h", "g", "k", "s"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
@@ -230,8 +230,8 @@ def _kept(words: int, starts: np.ndarray, width: int) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 20, more: list[str] | None = None) -> DataFrame:
-    """One row per input row: k (NO_KEY for null), n_words, n_removed, kept_text (kept words joined by one space), and
-    the columns of ``more`` as a struct named more."""
+    """One row per input row: k (NO_KEY for null), n_words, n_removed, kept_text (kept words joined by one space); with
+    ``more`` also the text t and those columns as a struct."""
     size = min(ANCHOR, width)
     plain = scan.keyed(docs, key, text)
     volume = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -261,10 +261,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
             kept = np.concatenate(([0], np.cumsum(keep)))[at]
             cols = {"k": batch.column("k"), "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array(removed), "kept_text": scan.strings(clean[keep], kept).cast(pa.string())}
             if more:
-                cols["more"] = batch.column("more")
+                cols |= {"t": batch.column("t"), "more": batch.column("more")}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    out = "k long, n_words long, n_removed long, kept_text string" + (f", more {schema['more'].dataType.simpleString()}" if more else "")
+    out = "k long, n_words long, n_removed long, kept_text string" + (f", t string, more {schema['more'].dataType.simpleString()}" if more else "")
     return joined.mapInArrow(cut, out)
 
 
