@@ -259,11 +259,11 @@ def _shards(batches: Iterator[pa.RecordBatch], tests: Tests, words: int) -> Iter
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, more: list[str] | None = None) -> DataFrame:
-    """One row per document: k (NO_KEY for null), n_words, n_hit, items (their ids as sorted strings), n_items, and the
-    columns of ``more`` as a struct named more. Hit words are a bit map while there are several blocks."""
+    """One row per document: k (NO_KEY for null), n_words, n_hit, items (their ids as sorted strings), n_items; with
+    ``more`` also the text t and those columns as a struct. Hit words are a bit map while there are several blocks."""
     parts = [Tests(i, t, window) for i, t in blocks(benchmark, item, text, block_bytes)]
-    extra = [F.struct(*[F.col(c) for c in more]).alias("more")] if more else []
-    source = scan.keyed(docs, key, text, *extra)
+    extra = bool(more)
+    source = scan.keyed(docs, key, text, *([F.struct(*[F.col(c) for c in more]).alias("more")] if more else []))
     kind = source.schema["more"].dataType.simpleString() if more else ""
 
     def judge(tests: Tests, last: bool):
@@ -289,10 +289,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                         counts.append(int(shard.words[d]))
                     at += n
                     cols = {"k": batch.column("k")}
+                    if extra or not last:
+                        cols["t"] = batch.column("t")
                     if not last:
-                        cols |= {"t": batch.column("t"), "bits": pa.array(bits, pa.binary())}
+                        cols |= {"bits": pa.array(bits, pa.binary())}
                     cols |= {"n_words": pa.array(counts, pa.int64()), "n_hit": pa.array(hits, pa.int64()), "items": pa.array(lists, pa.list_(pa.string()))}
-                    if more:
+                    if extra:
                         cols["more"] = batch.column("more")
                     yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
@@ -300,7 +302,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     for i, tests in enumerate(parts):
         last = i == len(parts) - 1
-        out = "k long, " + ("" if last else "t string, bits binary, ") + "n_words long, n_hit long, items array<string>" + (f", more {kind}" if more else "")
+        out = "k long, " + ("t string, " if extra or not last else "") + ("" if last else "bits binary, ") + "n_words long, n_hit long, items array<string>" + (f", more {kind}" if more else "")
         source = source.mapInArrow(judge(tests, last), out)
     return source.withColumn("n_items", F.size("items").cast("long"))
 

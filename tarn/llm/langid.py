@@ -284,12 +284,12 @@ def labelled_words(model: Field, data: np.ndarray, offsets: np.ndarray) -> tuple
 
 def predicted(docs: DataFrame, model: Field | None, key: str = "doc_id", text: str = "text", more: list[Column] | None = None) -> DataFrame:
     """k (NO_KEY for null), lang_pred, score, n_words, n_switches (neighbouring words of different languages), spans
-    (language and number of words of each run), and the columns of ``more``."""
+    (language and number of words of each run); with ``more`` also the text t and those columns as a struct."""
     extra = bool(more)
     plain = scan.keyed(docs, key, text, *([F.struct(*more).alias("more")] if more else []))
     out = "k long, lang_pred string, score double, n_words long, n_switches long, spans array<struct<lang:string,n_words:int>>"
     if more:
-        out += f", more {plain.schema['more'].dataType.simpleString()}"
+        out += f", t string, more {plain.schema['more'].dataType.simpleString()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in scan.slices(batches, "t"):
@@ -322,7 +322,7 @@ def predicted(docs: DataFrame, model: Field | None, key: str = "doc_id", text: s
             spans = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([names.take(pa.array(run_lang)), pa.array(run_size.astype(np.int32))], ["lang", "n_words"]))
             cols = {"k": batch.column("k"), "lang_pred": names.take(pa.array(np.where(pick < 0, len(names) - 1, pick))), "score": pa.array(score), "n_words": pa.array(counts.astype(np.int64)), "n_switches": pa.array(switches.astype(np.int64)), "spans": spans}
             if extra:
-                cols["more"] = batch.column("more")
+                cols |= {"t": batch.column("t"), "more": batch.column("more")}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return plain.mapInArrow(run, out)
