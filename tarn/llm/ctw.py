@@ -128,30 +128,28 @@ class Tree:
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
         self.depth = depth
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]] = []  # keys, chance of a one, weight of stopping
-        below: list[tuple[np.ndarray, np.ndarray]] = []
-        for d in range(depth, -1, -1):
-            c, m = summed(_up(codes, d), n)
-            symbol, context, m = c & _U(255), c & ~_U(255), m.astype(np.float64)
-            level, totals = [], []
-            for j in range(8):
-                key = context | _U(1 << j) | (symbol >> _U(8 - j))
+        #: by depth and decision: keys, chance of a one, weight of stopping
+        self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]] = [[] for _ in range(depth + 1)]
+        sums = [summed(_up(codes, d), n) for d in range(depth + 1)]
+        for j in range(8):
+            below: tuple[np.ndarray, np.ndarray] | None = None
+            for d in range(depth, -1, -1):
+                c, m = sums[d]
+                key = (c & ~_U(255)) | _U(1 << j) | ((c & _U(255)) >> _U(8 - j))
                 head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                 key = key[head]
-                ones = np.add.reduceat(np.where(symbol >> _U(7 - j) & _U(1) > 0, m, 0), head) if len(head) else np.zeros(0)
-                both = np.add.reduceat(m, head) if len(head) else np.zeros(0)
-                own = _lgamma(both - ones + 0.5) + _lgamma(ones + 0.5) - _lgamma(both + 1) - np.log(np.pi)
+                ones = np.add.reduceat(np.where(c >> _U(7 - j) & _U(1) > 0, m, 0), head).astype(np.float64) if len(head) else np.zeros(0)
+                both = np.add.reduceat(m, head).astype(np.float64) if len(head) else np.zeros(0)
+                total = _lgamma(both - ones + 0.5) + _lgamma(ones + 0.5) - _lgamma(both + 1) - np.log(np.pi)
                 stop = None
-                if below:
-                    up = np.searchsorted(key, _up(below[j][0], d))
-                    total = np.logaddexp(_HALF + own, _HALF + np.bincount(up, below[j][1], len(key)))
-                    stop = np.exp(np.minimum(_HALF + own - total, 0)).astype(np.float32)
-                    own = total
-                totals.append((key, own))
-                level.append((key, ((ones + 0.5) / (both + 1)).astype(np.float32), stop))
-            below = totals
-            self.nodes.append(level)
-        self.nodes.reverse()
+                if below is not None:
+                    up = np.searchsorted(key, _up(below[0], d))
+                    own = _HALF + total
+                    total = np.logaddexp(own, _HALF + np.bincount(up, below[1], len(key)))
+                    stop = np.exp(np.minimum(own - total, 0)).astype(np.float32)
+                below = key, total
+                self.nodes[d].append((key, ((ones + 0.5) / (both + 1)).astype(np.float32), stop))
+        del sums, below
         self.codes, _ = summed(codes)
         self.logs = np.concatenate([self._logs(x).astype(np.float32) for x in np.array_split(self.codes, max(1, len(self.codes) >> 18))])
         self.table = Lookup(self.codes)
@@ -267,7 +265,10 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     tokens, different = (size[0]["total"], size[0]["entries"]) if 0 in size else (0, 0)
     got = [(np.frombuffer(r["codes"], _U), np.frombuffer(r["ns"], np.int64)) for r in counts.where("kind = 1").select("codes", "ns").collect()]
     codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
+    del got
     tree = spark.sparkContext.broadcast(Tree(codes, n, depth))
+    del codes, n
+    scan.trimmed()
     got = [np.frombuffer(r["hot"], _U).reshape(2, -1) for r in counts.where("kind = 0").select("hot").collect()]
     hot, often = np.concatenate(got, 1) if got else np.zeros((2, 0), _U)
     order = np.argsort(hot)

@@ -241,6 +241,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", threshold: float = THRESHOLD, evidence: int = EVIDENCE) -> DataFrame:
     """page_id, url, text of every row."""
+    scan.small_batches(pages)
     low = style_tree(pages, url, html).where((F.col("pages") >= evidence) & (F.col("importance") < threshold))
     lists = low.groupBy("host").agg(F.collect_list("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes.
-SLICE = 4 << 20
+SLICE = 2 << 20
+#: Rows and bytes of an Arrow batch, where the session sets none.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 #: Bytes whose prefix sums are held at once.
 PIECE = 1 << 19
 #: Stands for a null key; a key of this value counts as null.
@@ -72,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    trimmed()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,8 +189,26 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def trimmed() -> None:
+    """Gives memory that a worker no longer uses back to the system; its next task may be of another operator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(df: DataFrame) -> None:
+    """Batches of texts that fit a worker beside what it computes; a session's own setting stays."""
+    conf = df.sparkSession.conf
+    for key, value in BATCH.items():
+        if conf.get(key, None) is None:
+            conf.set(key, value)
+
+
 def keyed(docs: DataFrame, key: str, text: str, *more: Column) -> DataFrame:
     """Only what an operator reads, under names of its own: k (a null key as NO_KEY) and t (a null text as empty)."""
+    small_batches(docs)
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), *more)
 
 

@@ -41,7 +41,7 @@ ANCHOR, ROWS, LEAST_CELLS, MOST_CELLS = 8, 2, 1 << 20, 1 << 28
 #: Cells whose positions travel in one row.
 BLOCK = 1 << 18
 #: Windows that a task holds before it passes them on, and anchors before it counts them.
-HELD = 3 << 20
+HELD = 1 << 20
 _U = np.uint64
 
 
