@@ -49,7 +49,7 @@ MODEL = os.environ.get("TARN_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 #: Characters beyond which a text is split, and of a chunk.
 GIANT, CHUNK = 1 << 16, 1 << 15
 #: Units and pairs that a worker remembers.
-UNITS, PAIRS = 400_000, 1_000_000
+UNITS, PAIRS = 150_000, 400_000
 SPACE = "▁"
 #: No piece: start of a unit, and a character that has no piece.
 BEGIN, UNKNOWN = -1, -2
