@@ -15,6 +15,7 @@ from tarn.operators import ontology as O
 from tarn.operators import profile as P
 from tarn.operators import retrieval as R
 from tarn.operators import similarity as S
+from tarn.plans import discovery as D
 from tarn.plans import provider as V
 from tarn.sources import lake, sinks
 from tarn.streaming import events as T
@@ -715,3 +716,98 @@ def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH x AS (SELECT user_id, ts, value, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS s FROM x) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, s")
 def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(T.sessions(table(spark, sf, "events"), "ts", ["user_id"], "value"), 4)
+
+
+# -- whole plans -----------------------------------------------------------------------------------------------------
+
+
+def customer_columns(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("customer", 0, "Key"), ("customer", 2, "Key"), ("customer", 3, "Label")], "table_id string, column_index int, class string")
+
+
+LAKE_CONTRACTS = [C.Contract("Key", "hasNumber", r"^\d+$", "int(x)", "int"), C.Contract("Key", "hasNumber", r"^1", "int(x)", "int"), C.Contract("Label", "hasText", r"^[A-Z]+$", "x.lower()")]
+
+
+@query(f"""WITH c AS ({_CELLS}), v AS (SELECT column_index, value::DOUBLE AS x FROM c WHERE column_index IN (0, 2)), a AS (SELECT column_index, count(*) AS count, min(x) AS min, max(x) AS max, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, list_sort(list(x)) AS s FROM v GROUP BY 1)
+SELECT 'customer' AS table_id, column_index::BIGINT AS column_index, 'hasNumber' AS property, count, min, max, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, round({_quartile_sql(1)}, 6) AS p25, round({_quartile_sql(3)}, 6) AS p75 FROM a""")
+def lake_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells to typed properties to contracts to statistics, all columns in one plan."""
+    cls = spark.createDataFrame([("Column", None), ("Key", "Column"), ("Label", "Column")], "class string, parent string")
+    props = spark.createDataFrame([("hasNumber", "Key", None, "xsd:integer"), ("hasText", "Label", None, "xsd:string")], "property string, domain string, parent string, range string")
+    columns = D.column_properties(customer_columns(spark), cls, props)
+    results = D.converted(customer_cells(spark, sf), columns, LAKE_CONTRACTS)
+    return rounded(D.numeric_profile(results, D.chosen_contracts(results)))
+
+
+@query(f"WITH c AS ({_CELLS}) SELECT DISTINCT 'customer' AS table_id, c.column_index::BIGINT AS column_index, CASE WHEN c.column_index = 3 THEN 'hasText' ELSE 'hasNumber' END AS property, CASE WHEN c.column_index = 3 THEN 2 ELSE 0 END::BIGINT AS contract, 1.0::DOUBLE AS rate FROM c WHERE c.column_index IN (0, 2, 3)")
+def lake_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    columns = customer_columns(spark).withColumn("property", F.when(F.col("class") == "Key", "hasNumber").otherwise("hasText"))
+    return rounded(D.chosen_contracts(D.converted(customer_cells(spark, sf), columns, LAKE_CONTRACTS)))
+
+
+def analyses(spark: SparkSession, sf: str) -> DataFrame:
+    """Stands for a model's analyses: some queries have none, some only one of the two texts."""
+    i, t = F.col("item_id"), F.col("text")
+    return table(spark, sf, "benchmark").select(i.alias("query_id"), t.alias("query"), F.when(i % 3 > 0, F.substring(t, 1, 40)).alias("table_desc"), F.when(i % 2 > 0, F.substring(t, 41, 40)).otherwise(" ").alias("column_desc"))
+
+
+@query("""WITH a AS (SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 3 > 0 THEN nullif(trim(text[1:40]), '') END AS t, CASE WHEN item_id % 2 > 0 THEN nullif(trim(text[41:80]), '') END AS c FROM benchmark)
+SELECT query_id, 'raw' AS mode, query AS text FROM a UNION ALL SELECT query_id, 'table_desc', coalesce(t, query) FROM a UNION ALL SELECT query_id, 'column_desc', coalesce(c, query) FROM a UNION ALL SELECT query_id, 'combined', coalesce(nullif(concat_ws(' ', t, c), ''), query) FROM a""")
+def search_text_modes(spark: SparkSession, sf: str) -> DataFrame:
+    return D.search_texts(analyses(spark, sf))
+
+
+@query()
+def mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(D.mode_metrics(table(spark, sf, "documents"), D.search_texts(analyses(spark, sf)), truth(spark, sf)))
+
+
+@query()
+def marker_ablation(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("[Column > "), F.col("source"), F.lit("] "), F.col("text")))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rounded(D.ablation(docs, q, truth(spark, sf)))
+
+
+@query(f"WITH {BM25_SQL}, {TRUTH_SQL}, n AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS n FROM bm WHERE rank <= 20 AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = bm.query_id AND t.doc_id = bm.doc_id)) SELECT query_id, doc_id, 1::BIGINT AS label FROM truth UNION ALL SELECT query_id, doc_id, 0 FROM n WHERE n <= 5")
+def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    t = truth(spark, sf)
+    return rounded(D.training_pairs(t, R.hard_negatives(bm25(spark, sf, 20), t, 5)))
+
+
+@query(f"WITH {BM25_SQL} SELECT query_id, string_agg(rank::VARCHAR || '. ' || text[1:2000], chr(10) ORDER BY rank)[1:2000] AS context FROM bm JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1")
+def rag_context(spark: SparkSession, sf: str) -> DataFrame:
+    return D.contexts(bm25(spark, sf, 3), table(spark, sf, "documents"), 3)
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'Year', NULL), (1, 1, 'Name', 'x'), (1, 2, 'Name', 'y'), (2, 0, 'Price', '5')) t(query_id, cid, class, value)")
+def constraint_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [(1, ["upo:Year"], [("Name", ["x", " ", "y"])]), (2, None, [("ont:Price", ["5"])]), (3, [], None)]
+    return rounded(D.constraint_rows(spark.createDataFrame(rows, "query_id int, tbox array<string>, abox array<struct<class:string,values:array<string>>>")))
+
+
+@query(f"""WITH {HYB_SQL}, j AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.doc_id, t.doc_id) AS doc_id, coalesce(v.score, 0) AS s1, coalesce(t.score, 0) AS s2 FROM vs v FULL JOIN ts t ON t.query_id = v.query_id AND t.doc_id = v.doc_id),
+f AS (SELECT query_id, doc_id, 0.7 * CASE WHEN max(s1) OVER w = min(s1) OVER w THEN 1.0 ELSE (s1 - min(s1) OVER w) / (max(s1) OVER w - min(s1) OVER w) END + 0.3 * CASE WHEN max(s2) OVER w = min(s2) OVER w THEN 1.0 ELSE (s2 - min(s2) OVER w) / (max(s2) OVER w - min(s2) OVER w) END AS score FROM j WINDOW w AS (PARTITION BY query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def alpha_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    every = R.vector_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 1 << 30)
+    return rounded(D.alpha_fusion(paired_text(spark, sf), every, 10, 0.3))
+
+
+@query("SELECT * FROM (VALUES ('t1', ['Odd']::VARCHAR[], ['b']::VARCHAR[], false), ('t2', []::VARCHAR[], []::VARCHAR[], true), ('t3', []::VARCHAR[], ['x']::VARCHAR[], true)) t(table_id, errors, warnings, valid)")
+def reference_validation(spark: SparkSession, sf: str) -> DataFrame:
+    notes = spark.createDataFrame([("t1", "a", "Odd"), ("t1", "a", "Price"), ("t2", "c", "upo:Price")], "table_id string, column_name string, class string")
+    tables = spark.createDataFrame([("t1", ["a", "b"]), ("t2", ["c"]), ("t3", ["x"])], "table_id string, columns array<string>")
+    return D.validated(notes, classes(spark), tables)
+
+
+@query("WITH c AS (SELECT n_regionkey AS table_id, n_nationkey AS column_index, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos FROM nation) SELECT table_id::BIGINT AS table_id, column_index::BIGINT AS column_index, CASE WHEN pos < 3 THEN 0 ELSE 1 END::BIGINT AS call FROM c")
+def call_batches(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(D.call_batches(table(spark, sf, "nation").select(F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("column_index")), 3))
+
+
+@query("SELECT n_regionkey::BIGINT AS table_id, n_nationkey::BIGINT AS column_index, n_regionkey::VARCHAR || '::' || n_name AS class_name, 'Name ⊓ ∃hasText.⊤' AS definition, n_name AS description FROM nation")
+def defined_classes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "nation").select(F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("column_index"), F.lit("Name").alias("class"), F.array(F.lit("hasText")).alias("properties"), F.col("n_name").alias("description"), F.col("n_name").alias("header"))
+    return rounded(D.defined_classes(rows.drop("header"), rows.select("table_id", "column_index", "header")))
