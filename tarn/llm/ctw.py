@@ -123,14 +123,15 @@ def _up(key: np.ndarray, d: int) -> np.ndarray:
 
 
 class Tree:
-    """The weighted tree from counts of grams. Nodes are kept by depth and decision; where grams are sorted, so are the
-    nodes of each decision."""
+    """The weighted tree from counts of grams. For each depth it keeps the different grams of that depth, sorted, with
+    running counts: a node is a range of them, so its own counts are differences. Beside them only the weight with which
+    a node stops the tree is kept, at the range's first gram, for each of the eight decisions."""
 
     def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
         self.depth = depth
-        #: by depth and decision: keys, chance of a one, weight of stopping
-        self.nodes: list[list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]] = [[] for _ in range(depth + 1)]
         sums = [summed(_up(codes, d), n) for d in range(depth + 1)]
+        self.levels = [(c, np.concatenate(([0], np.cumsum(m)))) for c, m in sums]
+        self.stops = [np.zeros((8, len(c)), np.float32) for c, _ in sums[:-1]]
         for j in range(8):
             below: tuple[np.ndarray, np.ndarray] | None = None
             for d in range(depth, -1, -1):
@@ -141,38 +142,37 @@ class Tree:
                 ones = np.add.reduceat(np.where(c >> _U(7 - j) & _U(1) > 0, m, 0), head).astype(np.float64) if len(head) else np.zeros(0)
                 both = np.add.reduceat(m, head).astype(np.float64) if len(head) else np.zeros(0)
                 total = _lgamma(both - ones + 0.5) + _lgamma(ones + 0.5) - _lgamma(both + 1) - np.log(np.pi)
-                stop = None
                 if below is not None:
                     up = np.searchsorted(key, _up(below[0], d))
                     own = _HALF + total
                     total = np.logaddexp(own, _HALF + np.bincount(up, below[1], len(key)))
-                    stop = np.exp(np.minimum(own - total, 0)).astype(np.float32)
+                    self.stops[d][j, head] = np.exp(np.minimum(own - total, 0))
                 below = key, total
-                self.nodes[d].append((key, ((ones + 0.5) / (both + 1)).astype(np.float32), stop))
         del sums, below
-        self.codes, _ = summed(codes)
-        self.logs = np.concatenate([self._logs(x).astype(np.float32) for x in np.array_split(self.codes, max(1, len(self.codes) >> 18))])
+        self.codes = self.levels[depth][0]
+        self.logs = np.concatenate([self._logs(x).astype(np.float32) for x in np.array_split(self.codes, max(1, len(self.codes) >> 17))])
         self.table = Lookup(self.codes)
 
     def _logs(self, codes: np.ndarray) -> np.ndarray:
         """Log10 of the chance of the last byte of each gram, also of grams never seen."""
-        out = np.zeros(len(codes))
+        chance, begun = np.full((8, len(codes)), 0.5), np.zeros((8, len(codes)), bool)
         symbol = codes & _U(255)
-        for j in range(8):
-            key = (codes & ~_U(255)) | _U(1 << j) | (symbol >> _U(8 - j))
-            p, begun = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-            for d in range(self.depth, -1, -1):
-                keys, one, stop = self.nodes[d][j]
-                if not len(keys):
-                    continue
-                want = _up(key, d)
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                there = keys[at] == want
-                w = 1.0 if stop is None else np.where(begun, stop[at], 1.0)  # the deepest context that was seen ends the path
-                p = np.where(there, w * one[at] + (1 - w) * p, p)
-                begun |= there
-            out += np.log10(np.where(symbol >> _U(7 - j) & _U(1) > 0, p, 1 - p))
-        return out
+        bits = [symbol >> _U(7 - j) & _U(1) > 0 for j in range(8)]
+        for d in range(self.depth, -1, -1):
+            c, upto = self.levels[d]
+            if not len(c):
+                continue
+            context = _up(codes, d) & ~_U(255)
+            low, high = np.searchsorted(c, context), np.searchsorted(c, context | _U(255), "right")
+            for j in range(8):
+                middle = np.searchsorted(c, context | (symbol & _U(256 - (1 << (8 - j)))) | _U(1 << (7 - j)))
+                one = (upto[high] - upto[middle] + 0.5) / (upto[high] - upto[low] + 1.0)
+                there = high > low
+                w = 1.0 if d == self.depth else np.where(begun[j], self.stops[d][j, np.minimum(low, len(c) - 1)], 1.0)  # the deepest context that was seen ends the path
+                chance[j] = np.where(there, w * one + (1 - w) * chance[j], chance[j])
+                begun[j] |= there
+                low, high = np.where(bits[j], middle, low), np.where(bits[j], high, middle)
+        return sum(np.log10(np.where(bits[j], chance[j], 1 - chance[j])) for j in range(8))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log10 probability of each text."""
