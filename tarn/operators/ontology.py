@@ -15,14 +15,33 @@ from pyspark.sql import functions as F
 
 from tarn.functions import text as X
 
-ROOT, ABOX_BOOST, MAX_DEPTH = "Column", 1.5, 64
+ROOT, ABOX_BOOST, MAX_DEPTH, LOCAL = "Column", 1.5, 64, 20_000
 
 
 def closure(classes: DataFrame) -> DataFrame:
-    """anc, desc, dist over all parents; cycles end at MAX_DEPTH."""
-    spark = classes.sparkSession
+    """anc, desc, dist over all parents; cycles end at MAX_DEPTH. Up to LOCAL rows are walked on the driver (a recursive
+    plan costs a job a level); more by the recursive plan."""
     edges = classes.select(X.strip_prefix(F.col("class")).alias("class"), X.strip_prefix(F.col("parent")).alias("parent"))
-    return spark.sql(
+    rows = edges.limit(LOCAL + 1).collect()
+    if len(rows) > LOCAL:
+        return recursive_closure(edges).cache()
+    up: dict[str, set[str]] = {}
+    for c, p in rows:
+        up.setdefault(c, set()).update([p] if p is not None else [])
+    out = []
+    for c in up:
+        seen, level, dist = {c: 0}, {c}, 0
+        while level and dist < MAX_DEPTH:
+            dist += 1
+            level = {p for x in level for p in up.get(x, ())} - seen.keys()
+            seen.update(dict.fromkeys(level, dist))
+        out += [(a, c, d) for a, d in seen.items()]
+    return classes.sparkSession.createDataFrame(out, "anc string, desc string, dist int")
+
+
+def recursive_closure(edges: DataFrame) -> DataFrame:
+    """The same for any number of classes."""
+    return edges.sparkSession.sql(
         f"""
         WITH RECURSIVE c(anc, desc, dist) AS (
           SELECT DISTINCT class, class, 0 FROM {{edges}}

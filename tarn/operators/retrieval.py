@@ -45,8 +45,19 @@ def bm25_idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_weights(posts: DataFrame, stats: DataFrame, variant: str = "index") -> DataFrame:
-    """doc_id, term, tf, idf, weight. ``index``: tf / (tf + norm); ``terms``: tf (k1 + 1) / (tf + norm)."""
+def weights_for(docs: DataFrame, key: str, text: str, terms: DataFrame, stop: list[str] | None = None, variant: str = "index") -> DataFrame:
+    """doc_id, term, tf, idf, tf_part, weight of the documents' terms that are in ``terms``. ``index``: tf / (tf + norm);
+    ``terms``: tf (k1 + 1) / (tf + norm).
+
+    Documents are tokenised once: other terms go before the shuffle, each document keeps one row without a term, and
+    postings, document frequencies and corpus statistics all read the same shuffle. (The test for that row is on an
+    aggregate, as one on the key would be pushed below the shuffle and give each reader a scan of its own.)"""
+    wanted = terms.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit("").alias("term")))
+    words = docs.select(F.col(key).alias("doc_id"), X.tokens(F.col(text), stop).alias("words"))
+    rows = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    posts = rows.join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"), F.max(F.col("term") == "").alias("whole"))
+    stats = posts.where("whole").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = posts.where("not whole")
     scaled = posts.join(term_stats(posts), "term").join(F.broadcast(stats))  # stats is one row
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))
     tf = F.col("tf") / (F.col("tf") + norm) if variant == "index" else F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
@@ -61,8 +72,7 @@ def query_terms(queries: DataFrame, key: str, text: str, stop: list[str] | None
 def bm25_scores(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query_key: str, query_text: str, stop: list[str] | None = None) -> DataFrame:
     """query_id, doc_id, score of every pair that shares a term."""
     terms = query_terms(queries, query_key, query_text, stop)
-    posts = postings(docs, doc_key, doc_text, stop)
-    weights = bm25_weights(posts.join(terms.select("term").distinct(), "term", "left_semi"), corpus_stats(docs, doc_text, stop))
+    weights = weights_for(docs, doc_key, doc_text, terms, stop)
     return weights.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
@@ -80,9 +90,8 @@ def bm25_search(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str
 
 def bm25_terms(docs: DataFrame, queries: DataFrame, doc_key: str, doc_text: str, query_key: str, query_text: str, classes: Column | None = None) -> DataFrame:
     """Score of each (query, document, term), with whether the term is one of a class name."""
-    posts = postings(docs, doc_key, doc_text)
     terms = query_terms(queries, query_key, query_text)
-    weights = bm25_weights(posts.join(terms.select("term").distinct(), "term", "left_semi"), corpus_stats(docs, doc_text), "terms")
+    weights = weights_for(docs, doc_key, doc_text, terms, variant="terms")
     out = weights.join(terms, "term").select("query_id", "doc_id", "term", "tf", "qtf", "idf", "tf_part", (F.col("weight") * F.col("qtf")).alias("score"))
     return out.withColumn("is_class", classes if classes is not None else F.lit(False))
 
