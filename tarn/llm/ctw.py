@@ -15,8 +15,11 @@ Word counts are never broadcast as a whole: each task looks up the ``HOT`` most
 frequent words itself and sends the others to the buckets of the counts.
 
 What tasks receive has a bound: HOT words, and a tree of at most ``GRAMS``
-different strings of DEPTH + 1 bytes (counted before they are collected; beyond
-it the counting is repeated with a smaller depth).
+different strings of DEPTH + 1 bytes (counted before they are collected). Beyond
+it the same tree, of the same depth, is dealt into subtrees by the last ``TOP``
+bytes of the context: each is weighted in a task of its own, which passes up what
+its nodes give the shorter contexts (at most 256 * 255 sums), and those few levels
+are broadcast. Every slice of text asks the subtrees for its different strings.
 
 Defined cases: a null text is empty: one token (the end), score 0.0; with no
 training row all counts are 0 and the tree gives every bit 1/2; repeated rows
@@ -30,12 +33,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import scan
 
 DEPTH, HOT, GRAMS = 5, 1 << 18, 4_000_000
+#: Levels above the subtrees, and strings of a subtree bucket on average, where the tree is dealt.
+TOP, DEALT = 2, 1_000_000
 #: Bytes of text that one numpy pass takes here, beside the model.
 PART = 2 << 20
 #: Entries that a task gathers before it sums and sends them.
@@ -125,16 +131,23 @@ def _up(key: np.ndarray, d: int) -> np.ndarray:
 class Tree:
     """The weighted tree from counts of grams. For each depth it keeps the different grams of that depth, sorted, with
     running counts: a node is a range of them, so its own counts are differences. Beside them only the weight with which
-    a node stops the tree is kept, at the range's first gram, for each of the eight decisions."""
+    a node stops the tree is kept, at the range's first gram, for each of the eight decisions.
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int):
-        self.depth = depth
-        sums = [summed(_up(codes, d), n) for d in range(depth + 1)]
-        self.levels = [(c, np.concatenate(([0], np.cumsum(m)))) for c, m in sums]
-        self.stops = [np.zeros((8, len(c)), np.float32) for c, _ in sums[:-1]]
+    With ``least`` it is a part of the subtrees from that depth down, and ``up`` has the sums of its log probabilities by
+    the decisions of the depth above; with ``under``, such sums, it is the levels above the subtrees."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, depth: int, least: int = 0, under: tuple[np.ndarray, np.ndarray] | None = None):
+        self.depth, self.least = depth, least
+        sums = {d: summed(_up(codes, d), n) for d in range(least, depth + 1)}
+        self.levels = {d: (c, np.concatenate(([0], np.cumsum(m)))) for d, (c, m) in sums.items()}
+        self.stops = {d: np.zeros((8, len(c)), np.float32) for d, (c, _) in sums.items() if d < depth or under is not None}
+        passed: list[tuple[np.ndarray, np.ndarray]] = []
         for j in range(8):
             below: tuple[np.ndarray, np.ndarray] | None = None
-            for d in range(depth, -1, -1):
+            if under is not None:
+                mine = (under[0] & _U(255)) >> _U(j) == 1
+                below = under[0][mine], under[1][mine]
+            for d in range(depth, least - 1, -1):
                 c, m = sums[d]
                 key = (c & ~_U(255)) | _U(1 << j) | ((c & _U(255)) >> _U(8 - j))
                 head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -148,17 +161,30 @@ class Tree:
                     total = np.logaddexp(own, _HALF + np.bincount(up, below[1], len(key)))
                     self.stops[d][j, head] = np.exp(np.minimum(own - total, 0))
                 below = key, total
+            if least:
+                parents, at = np.unique(_up(below[0], least - 1), return_inverse=True)
+                passed.append((parents, np.bincount(at, below[1], len(parents))))
         del sums, below
+        if least or under is not None:
+            self.up = tuple(map(np.concatenate, zip(*passed, strict=True))) if least else None
+            return
         self.codes = self.levels[depth][0]
         self.logs = np.concatenate([self._logs(x).astype(np.float32) for x in np.array_split(self.codes, max(1, len(self.codes) >> 17))])
         self.table = Lookup(self.codes)
 
-    def _logs(self, codes: np.ndarray) -> np.ndarray:
-        """Log10 of the chance of the last byte of each gram, also of grams never seen."""
+    def _logs(self, codes: np.ndarray, top: Tree | None = None) -> np.ndarray:
+        """Log10 of the chance of the last byte of each gram, also of grams never seen; ``top``: the levels above."""
         chance, begun = np.full((8, len(codes)), 0.5), np.zeros((8, len(codes)), bool)
+        for tree in (self, top) if top else (self,):
+            tree._mix(codes, chance, begun)
+        symbol = codes & _U(255)
+        return sum(np.log10(np.where(symbol >> _U(7 - j) & _U(1) > 0, chance[j], 1 - chance[j])) for j in range(8))
+
+    def _mix(self, codes: np.ndarray, chance: np.ndarray, begun: np.ndarray) -> None:
+        """Chances of ones, mixed from this tree's deepest level to its least."""
         symbol = codes & _U(255)
         bits = [symbol >> _U(7 - j) & _U(1) > 0 for j in range(8)]
-        for d in range(self.depth, -1, -1):
+        for d in range(self.depth, self.least - 1, -1):
             c, upto = self.levels[d]
             if not len(c):
                 continue
@@ -168,11 +194,10 @@ class Tree:
                 middle = np.searchsorted(c, context | (symbol & _U(256 - (1 << (8 - j)))) | _U(1 << (7 - j)))
                 one = (upto[high] - upto[middle] + 0.5) / (upto[high] - upto[low] + 1.0)
                 there = high > low
-                w = 1.0 if d == self.depth else np.where(begun[j], self.stops[d][j, np.minimum(low, len(c) - 1)], 1.0)  # the deepest context that was seen ends the path
+                w = 1.0 if d not in self.stops else np.where(begun[j], self.stops[d][j, np.minimum(low, len(c) - 1)], 1.0)  # the deepest context that was seen ends the path
                 chance[j] = np.where(there, w * one + (1 - w) * chance[j], chance[j])
                 begun[j] |= there
                 low, high = np.where(bits[j], middle, low), np.where(bits[j], high, middle)
-        return sum(np.log10(np.where(bits[j], chance[j], 1 - chance[j])) for j in range(8))
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log10 probability of each text."""
@@ -245,6 +270,101 @@ def counted(training: DataFrame, depth: int, buckets: int) -> DataFrame:
     return scan.cut(sent.mapInArrow(add, "p int, kind int, codes binary, ns binary, entries long, total long, hot binary"))
 
 
+def _beneath(codes: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket of each gram's subtree."""
+    return _bucket(codes >> _U(8) & _U((1 << 8 * TOP) - 1), parts)
+
+
+def dealt(rows: DataFrame, counts: DataFrame, depth: int, entries: int) -> DataFrame:
+    """k, held, t and lm (log10 probability) of every row, by the tree of ``depth`` in subtrees that no task has all of."""
+    spark = rows.sparkSession
+    buckets = scan.partitions(rows)
+    parts = max(buckets, -(-entries // DEALT))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column("codes").to_pylist(), batch.column("ns").to_pylist(), strict=True):
+                codes, n = np.frombuffer(a, _U), np.frombuffer(b, np.int64)
+                for q, i in _split(_beneath(codes, parts)):
+                    yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([codes[i].tobytes()], pa.binary()), pa.array([n[i].tobytes()], pa.binary())], ["q", "codes", "ns"])
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            for q, a, b in zip(*(batch.column(c).to_pylist() for c in ("q", "codes", "ns")), strict=True):
+                got.setdefault(q, []).append((np.frombuffer(a, _U), np.frombuffer(b, np.int64)))
+        for q in sorted(got):
+            codes, n = summed(*map(np.concatenate, zip(*got.pop(q), strict=True)))
+            short, often = summed(_up(codes, TOP - 1), n)
+            cells = [codes, n, *Tree(codes, n, depth, TOP).up, short, often]
+            yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in cells)], ["q", "codes", "ns", "keys", "sums", "short", "often"])
+
+    dealt_out = counts.where("kind = 1").select("codes", "ns").mapInArrow(split, "q int, codes binary, ns binary").repartition(parts, "q")
+    trees = scan.cut(dealt_out.mapInArrow(grow, "q int, codes binary, ns binary, keys binary, sums binary, short binary, often binary"))
+    short, often = (np.zeros(0, _U), np.zeros(0, np.int64))
+    keys, sums = (np.zeros(0, _U), np.zeros(0))
+    for r in trees.select("q", "keys", "sums", "short", "often").orderBy("q").toLocalIterator():  # one at a time: at most 2**16 of each are held
+        short, often = summed(np.concatenate((short, np.frombuffer(r["short"], _U))), np.concatenate((often, np.frombuffer(r["often"], np.int64))))
+        keys, sums = summed(np.concatenate((keys, np.frombuffer(r["keys"], _U))), np.concatenate((sums, np.frombuffer(r["sums"], np.float64))))
+    top = spark.sparkContext.broadcast(Tree(short, often, TOP - 1, 0, (keys, sums)))
+
+    names = ["slice", "tag", "q", "a", "b", "c", "d"]
+    types = (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4)
+    schema = "slice long, tag int, q int, a binary, b binary, c binary, d binary"
+
+    def row(*cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch, data, offsets in scan.slices(batches, "t", PART):
+            k, held = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("k", "held"))
+            yield row(number, 2, None, data.tobytes(), offsets.astype(np.int64).tobytes(), k.astype(np.int64).tobytes(), held.astype(bool).tobytes())
+            codes = np.unique(grams(data, offsets, depth))
+            for q, i in _split(_beneath(codes, parts)):
+                yield row(number, 1, q, codes[i].tobytes(), None, None, None)
+            number += 1
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tree = None, None
+        for batch in batches:
+            for number, tag, q, a, b in zip(*(batch.column(c).to_pylist() for c in names[:5]), strict=True):
+                if tag == 0:
+                    at, tree = q, Tree(np.frombuffer(a, _U), np.frombuffer(b, np.int64), depth, TOP)
+                    continue
+                if at != q:  # no training text has any of these contexts
+                    at, tree = q, Tree(np.zeros(0, _U), np.zeros(0, np.int64), depth, TOP)
+                codes = np.frombuffer(a, _U)
+                logs = np.concatenate([tree._logs(x, top.value) for x in np.array_split(codes, max(1, len(codes) >> 17))])
+                c = tree.levels[depth][0]
+                if len(c):  # known strings as precise as in a tree that is broadcast
+                    known = c[np.minimum(np.searchsorted(c, codes), len(c) - 1)] == codes
+                    logs = np.where(known, logs.astype(np.float32), logs)
+                yield row(number, 1, q, logs.tobytes(), None, None, None)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for tag, q, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in names[1:]), strict=True):
+                if tag == 1:
+                    got[q] = np.frombuffer(a, np.float64)
+                    continue
+                data, offsets = np.frombuffer(a, np.uint8), np.frombuffer(b, np.int64)
+                codes, index = np.unique(grams(data, offsets, depth), return_inverse=True)
+                logs = np.zeros(len(codes))
+                for q_, i in _split(_beneath(codes, parts)):
+                    logs[i] = got[q_]
+                total = np.concatenate(([0.0], np.cumsum(logs[index])))
+                got = {}
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c, np.int64)), pa.array(np.frombuffer(d, bool)), scan.strings(data, offsets).cast(pa.string()), pa.array(total[offsets[1:]] - total[offsets[:-1]])], ["k", "held", "t", "lm"])
+
+    asked = scan.cut(rows.mapInArrow(ask, schema))
+    none = F.lit(None).cast("binary")
+    grown = trees.select(F.lit(0).cast("long").alias("slice"), F.lit(0).alias("tag"), "q", F.col("codes").alias("a"), F.col("ns").alias("b"), none.alias("c"), none.alias("d"))
+    answers = asked.where("tag = 1").unionByName(grown).repartition(parts, "q").sortWithinPartitions("q", "tag").mapInArrow(answer, schema)
+    return scan.cut(asked.where("tag = 2").unionByName(answers).repartition(buckets, "slice").sortWithinPartitions("slice", "tag").mapInArrow(gather, "k long, held boolean, t string, lm double"))
+
+
 _DOC = np.dtype([("ref", "u8"), ("k", "i8"), ("held", "?"), ("n", "i8"), ("known", "i8"), ("sum", "f8"), ("bytes", "i8"), ("score", "f8")])
 _PART = np.dtype([("ref", "u8"), ("known", "i8"), ("sum", "f8")])
 
@@ -256,18 +376,18 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     buckets = scan.partitions(docs)
     rows = scan.keyed(docs, key, text, held.alias("held"))
     training = rows.where("not held").select("k", "t")
-    while True:
-        counts = counted(training, depth, buckets)
-        size = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).collect()}
-        if depth == 0 or not size or size.get(1) is None or size[1]["entries"] <= GRAMS:
-            break
-        depth -= 1
+    counts = counted(training, depth, buckets)
+    size = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("entries").alias("entries"), F.sum("total").alias("total")).collect()}
     tokens, different = (size[0]["total"], size[0]["entries"]) if 0 in size else (0, 0)
-    got = [(np.frombuffer(r["codes"], _U), np.frombuffer(r["ns"], np.int64)) for r in counts.where("kind = 1").select("codes", "ns").collect()]
-    codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
-    del got
-    tree = spark.sparkContext.broadcast(Tree(codes, n, depth))
-    del codes, n
+    whole = depth < TOP or 1 not in size or size[1]["entries"] <= GRAMS
+    if whole:
+        got = [(np.frombuffer(r["codes"], _U), np.frombuffer(r["ns"], np.int64)) for r in counts.where("kind = 1").select("codes", "ns").collect()]
+        codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
+        del got
+        tree = spark.sparkContext.broadcast(Tree(codes, n, depth))
+        del codes, n
+    else:
+        rows = dealt(rows, counts, depth, size[1]["entries"])
     scan.trimmed()
     got = [np.frombuffer(r["hot"], _U).reshape(2, -1) for r in counts.where("kind = 0").select("hot").collect()]
     hot, often = np.concatenate(got, 1) if got else np.zeros((2, 0), _U)
@@ -279,7 +399,7 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     names = ["p", "tag", "a", "b", "c"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, logs) = tree.value, common.value
+        model, (known, logs) = tree.value if whole else None, common.value
         parts: list[tuple[np.ndarray, ...]] = []
         held: list[np.ndarray] = []
         count = 0
@@ -302,7 +422,7 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
             # equal rows share a reference; the second pass divides what they gathered
             doc["ref"] = scan.mix(scan.mix(doc["k"].view(_U), 1) ^ scan.word_hashes(data, offsets[:-1], offsets[1:]), 2)
             doc["bytes"] = np.diff(offsets)
-            doc["score"] = model.scores(data, offsets)
+            doc["score"] = model.scores(data, offsets) if whole else batch.column("lm").to_numpy(zero_copy_only=False)
             doc["n"] = np.diff(first) + 1
             h = np.insert(h, first[1:], END)
             owner = np.repeat(np.arange(batch.num_rows), doc["n"])

@@ -284,3 +284,16 @@ def test_fewer_grams_by_smaller_depth(spark, monkeypatch):
     monkeypatch.setattr(ctw, "GRAMS", 40)
     df = spark.createDataFrame([(i, words(i, 50)) for i in range(6)], "doc_id long, text string")  # noqa: F405
     assert ctw.scored(df, F.lit(False)).count() == 6
+
+
+def test_dealt_tree_keeps_its_depth(spark, texts, monkeypatch):
+    """More different strings than are broadcast give the same scores: no context is lost."""
+    df = spark.createDataFrame(rows_of(texts), SCHEMA)  # noqa: F405
+    held = F.coalesce(F.col("doc_id") % 7 == 0, F.lit(False))
+    key = lambda r: (r["k"], r["n_bytes"], r["score"])
+    want = sorted(ctw.scored(df, held).collect(), key=key)
+    monkeypatch.setattr(ctw, "GRAMS", 40)
+    got = sorted(ctw.scored(df, held).collect(), key=key)
+    assert len(got) == len(texts) and [r["k"] for r in got] == [r["k"] for r in want]
+    np.testing.assert_allclose([r["score"] for r in got], [r["score"] for r in want], rtol=1e-9)
+    assert [(r["n_tokens"], r["n_known"], r["held_out"]) for r in got] == [(r["n_tokens"], r["n_known"], r["held_out"]) for r in want]
