@@ -266,3 +266,26 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     q = T.tumbling(T.source(spark, ev.schema, src).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", "5 minutes", "1 minute").writeStream.format("memory").queryName("tumbled").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from tumbled").first()[0] == 20
+
+
+def test_greedy_picks_take_every_item(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    sim = v @ v.T
+    np.fill_diagonal(sim, 1)
+    want = S.dpp_greedy(list(range(60)), sim, 6)
+    assert S.dpp_greedy_of(list(range(60)), v, 6) == want
+    monkeypatch.setattr(S, "KERNEL", 10)
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(v)], "i long, v array<double>, c string")
+    assert sorted(r["item"] for r in S.stratified_dpp(df, "i", "v", "c", 6).collect()) == sorted(want)
+
+
+def test_kernel_queries_take_the_whole_table(spark):
+    from tarn import queries as library
+
+    sf = "/root/testdata/sf0.001"
+    labels = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {r["vec_id"]: r["cluster"] for r in library.QUERIES["spectral_clusters"](spark, sf).collect()}
+    assert set(got) == set(labels)
+    assert {labels[r["vec_id"]] for r in library.QUERIES["dpp_sample"](spark, sf).collect()} - {0, 1}
