@@ -268,13 +268,13 @@ def stratified_dpp(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def spectral_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    ids, m = S.kernel(table(spark, sf, "embeddings").where("label < 4"), "vec_id", "embedding")
+    ids, m = S.kernel(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return spark.createDataFrame(list(zip(ids, S.spectral((m + 1) / 2, 4).tolist(), strict=True)), "vec_id long, cluster int")
 
 
 @query()
 def dpp_sample(spark: SparkSession, sf: str) -> DataFrame:
-    ids, m = S.kernel(table(spark, sf, "embeddings").where("label < 2"), "vec_id", "embedding")
+    ids, m = S.kernel(table(spark, sf, "embeddings"), "vec_id", "embedding")
     return spark.createDataFrame([(i,) for i in S.dpp_sample(ids, m, 10)], "vec_id long")
 
 
