@@ -16,6 +16,8 @@ from tarn.llm import decontam, langid, pieces, scan, simhash, substring
 
 #: Texts whose best language has a lower mean posterior are rejected, as those without a letter are.
 LEAST_SCORE = 0.35
+#: Repeated ids that are broadcast; more of them are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def _others(docs: DataFrame) -> list[str]:
@@ -34,17 +36,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the smallest id stays (one row of a repeated id)."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("k") == F.col("c")).select("k").distinct()
-    key = F.coalesce(F.col("doc_id"), F.lit(scan.NO_KEY))
-    rows = docs.withColumn("_k", key)
-    return rows.join(kept, rows["_k"] == kept["k"], "left_semi").dropDuplicates(["_k"]).drop("_k")
+    """SimHash near-dedup: of each component the document with the smallest id stays (one of equal rows). Null or
+    repeated ids with different texts are documents of their own."""
+    kept = simhash.keepers(docs)
+    names = [f"_{n}" for n in simhash.identity()]
+    rows = docs.select("*", *[c.alias(f"_{n}") for n, c in simhash.identity().items()])
+    same = [rows[n] == kept[n[1:]] for n in names]
+    return rows.join(kept, same, "left_semi").dropDuplicates(names).drop(*names)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Substring dedup: repeated windows of words go; texts of which nothing is left go too."""
-    rows = substring.remove_repeats(docs, more=_others(docs))
+    """Substring dedup: repeated windows of words go; texts of which nothing is left go too. Rows whose id
+    is null or repeated go by a hash of id and text (also in the order of occurrences): substring joins by id."""
+    often = scan.cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_i"), F.lit(True).alias("_often")))
+    often = F.broadcast(often) if often.count() <= BROADCAST else often
+    mixed = F.xxhash64(F.coalesce("doc_id", F.lit(scan.NO_KEY)), F.coalesce("text", F.lit("")))
+    keyed = docs.join(often, docs["doc_id"].eqNullSafe(often["_i"]), "left").withColumn("_id", F.when(F.col("_often"), mixed).otherwise(F.col("doc_id")))
+    rows = substring.remove_repeats(keyed, "_id", more=_others(docs))
     less = F.col("n_removed") > 0
     text = F.when(less, F.col("kept_text")).otherwise(F.col("t"))
     chars = F.when(less, F.length("kept_text").cast("long")).otherwise(F.col("more")["n_chars"])

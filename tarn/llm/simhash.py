@@ -114,14 +114,15 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed:
     return out
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """k (NO_KEY for null) and fp (long) of every row, without a shuffle."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, seed: int = 42, more: dict[str, Column] | None = None) -> DataFrame:
+    """k (NO_KEY for null), the long columns ``more`` and fp (long) of every row, without a shuffle."""
+    names = ["k", *(more or {})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in scan.slices(batches, "t"):
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(text_fingerprints(data, offsets, shingle, seed).view(np.int64))], ["k", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(text_fingerprints(data, offsets, shingle, seed).view(np.int64))], [*names, "fp"])
 
-    return scan.keyed(docs, key, text).mapInArrow(run, "k long, fp long")
+    return scan.keyed(docs, key, text, *[c.alias(n) for n, c in (more or {}).items()]).mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -265,6 +266,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return prints.join(label, "fp")
 
 
+def identity(key: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    """What tells rows apart whose ids are null or repeated: the id (NO_KEY for null) and two hashes of the text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return {"k": F.coalesce(F.col(key).cast("long"), F.lit(scan.NO_KEY)), "h": F.xxhash64(t), "g": F.xxhash64(F.lit(1), t)}
+
+
+def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """The identity (k, h, g) of the first row of each component. Vertices are fingerprints, never ids, so rows that
+    share an id and differ in text don't join their components."""
+    more = {n: c for n, c in identity(key, text).items() if n != "k"}
+    prints = scan.cut(fingerprints(docs, key, text, shingle, seed, more).groupBy("fp").agg(F.min(F.struct("k", "h", "g")).alias("first")))
+    comp = components(near_links(prints.select("fp", F.col("fp").alias("v")), prints.count(), radius))
+    label = prints.join(comp, prints["fp"] == comp["v"], "left").select(F.coalesce("c", "fp").alias("c"), "first")
+    return label.groupBy("c").agg(F.min("first").alias("first")).select("first.*")
+
+
 def hex_fingerprint(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(c), 16, "0"))
 

@@ -38,3 +38,19 @@ def test_columns_stay(spark, tmp_path, docs):
     spark.createDataFrame([(1, "of")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_null_and_repeated_ids_with_different_texts_stay(spark, tmp_path):
+    a, b, c, d, e = (words(900 + i, 90) for i in range(5))  # noqa: F405
+    shared = words(950, 30)  # noqa: F405
+    rows = [(None, a, "en"), (None, b, "en"), (None, b, "en"), (7, c, "en"), (7, d, "en"), (8, a, "en"), (9, e, "en"), (9, e, "en"), (10, d, "en")]
+    df = spark.createDataFrame(rows_of(rows), SCHEMA)  # noqa: F405
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect())
+    assert got == sorted([(0, a), (0, b), (7, c), (7, d), (9, e)])
+    rows = [(None, f"{a} {shared}", "en"), (None, b, "en"), (7, f"{c} {shared}", "en"), (7, d, "en")]
+    df = spark.createDataFrame(rows_of(rows), SCHEMA)  # noqa: F405
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_passages(spark, df, str(tmp_path)).collect()]
+    own = [(n, t, l) for n, (_, t, l) in enumerate(rows)]
+    orders = [kept(x, 20) for x in (own, [(3 - n, t, l) for n, t, l in own])]  # whichever of the two comes first
+    wants = [[(i, x[n if o == 0 else 3 - n][2]) for n, (i, _, _) in enumerate(rows)] for o, x in enumerate(orders)]
+    assert sorted(got, key=repr) in [sorted(w, key=repr) for w in wants] and wants[0] != wants[1]
