@@ -17,6 +17,10 @@ and so on are removed (fixed lists below), and where a page has an article (else
 a main) element, the text is taken from there. Containers of the article, the
 article itself, paragraphs and headings are never removed by importance.
 
+Copies of a page (same host and html) count once, for pages, texts and child
+sequences alike: each of c copies weighs 1 / c. Only groups of copies are joined to
+the pages, from a broadcast up to ``COPIES`` groups.
+
 Only per-page digests (one row a node) are shuffled for the tree; they are
 pre-aggregated by (node, text). The low nodes of a host reach its pages by a
 join that is salted by page, so a host with a third of all pages is no hot key.
@@ -40,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import scan
 
-THRESHOLD, EVIDENCE, GAMMA, SALTS = 0.25, 8, 0.9, 16
+THRESHOLD, EVIDENCE, GAMMA, SALTS, COPIES = 0.25, 8, 0.9, 16, 1_000_000
 
 # Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,21 +219,29 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def _host(url: str):
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+
+
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The merged trees: host, node, pages (that have it), importance."""
+    """The merged trees: host, node, pages (different ones that have it), importance."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [(h, _digest(f"{h}\x1f{path}"), c, s) for u, t in zip(part.column("u").to_pylist(), part.column("t").to_pylist(), strict=True) for h in [host_of(u)] for path, c, s in Page(t or "").nodes()]
+                rows = [(h, _digest(f"{h}\x1f{path}"), c, s, w) for u, t, w in zip(*(part.column(x).to_pylist() for x in ("u", "t", "w")), strict=True) for h in [host_of(u)] for path, c, s in Page(t or "").nodes()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "node", "content", "style"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["host", "node", "content", "style", "w"])
 
-    seen = pages.select(F.col(url).alias("u"), F.col(html).alias("t")).mapInArrow(digest, "host string, node long, content long, style long")
+    print_ = F.xxhash64(_host(url), F.coalesce(F.col(html), F.lit("")))
+    copies = scan.cut(pages.select(print_.alias("d")).groupBy("d").agg(F.count("*").alias("n")).where("n > 1"))
+    rows = pages.select(F.col(url).alias("u"), F.col(html).alias("t"), print_.alias("d"))
+    rows = rows.join(F.broadcast(copies) if copies.count() <= COPIES else copies, "d", "left").select("u", "t", (1 / F.coalesce("n", F.lit(1))).alias("w"))
+    seen = rows.mapInArrow(digest, "host string, node long, content long, style long, w double")
     # one pass: a row for each text and one for each child sequence
-    both = seen.select("host", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("style").alias("v")))).alias("x"))
-    counts = both.groupBy("host", "node", "x.kind", "x.v").agg(F.count("*").alias("c"))
+    both = seen.select("host", "node", "w", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("style").alias("v")))).alias("x"))
+    counts = both.groupBy("host", "node", "x.kind", "x.v").agg(F.round(F.sum("w")).cast("long").alias("c"))  # whole: all copies of a page are in one group
     content, style = F.col("kind") == 0, F.col("kind") == 1
     sums = counts.groupBy("host", "node").agg(
         F.sum(F.when(content, F.col("c"))).alias("pages"), F.sum(F.when(content, F.ln("c"))).alias("logs"), F.count(F.when(content, F.lit(1))).alias("texts"),
@@ -244,8 +256,7 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     scan.small_batches(pages)
     low = style_tree(pages, url, html).where((F.col("pages") >= evidence) & (F.col("importance") < threshold))
     lists = low.groupBy("host").agg(F.collect_list("node").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("u"), F.col(html).alias("t"), host.alias("host"), F.pmod(F.xxhash64(F.col(key), F.col(html)), F.lit(SALTS)).cast("int").alias("salt"))
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).alias("u"), F.col(html).alias("t"), _host(url).alias("host"), F.pmod(F.xxhash64(F.col(key), F.col(html)), F.lit(SALTS)).cast("int").alias("salt"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -90,3 +90,14 @@ def test_style_tree_removes_what_a_host_repeats(spark):
 
 def test_host():
     assert [extract.host_of(u) for u in ("http://a.B.c:80/x", "//u@h/x", None, "x", "https://h?q")] == ["a.b.c", "h", "", "", "h"]
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    def page(i):
+        return f'<html><body><div class="bar">Same on all</div><div class="story"><p>Intro {i}.</p><ul><li>Point {i * 3}</li></ul></div></body></html>'
+
+    one = [(i, f"http://one.example/{i}", page(1)) for i in range(20)]
+    two = [(100 + i, f"http://two.example/{i}", page(1 + i % 2)) for i in range(100)]
+    got = {r["page_id"]: r["text"] for r in extract.extracted(pages_of(spark, one + two)).collect()}
+    assert got[3] == got[102] == "Same on all Intro 1. Point 3" and got[101] == "Same on all Intro 2. Point 6"
+    assert {r["pages"] for r in extract.style_tree(pages_of(spark, one)).collect()} == {1}
