@@ -1,5 +1,8 @@
 import gzip
 import hashlib
+import math
+import random
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -58,7 +61,7 @@ def test_no_pages(spark, tmp_path):
 
 
 def text(html):
-    return extract.Page(html).text(set(), "")
+    return extract.Page(html).text()
 
 
 def test_markup():
@@ -101,3 +104,110 @@ def test_copies_of_a_page_are_no_evidence(spark):
     got = {r["page_id"]: r["text"] for r in extract.extracted(pages_of(spark, one + two)).collect()}
     assert got[3] == got[102] == "Same on all Intro 1. Point 3" and got[101] == "Same on all Intro 2. Point 6"
     assert {r["pages"] for r in extract.style_tree(pages_of(spark, one)).collect()} == {1}
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+def undeclared(seed, hosts, each):
+    """Pages without an article whose menus, adverts and footers have meaningless names and new words on every page."""
+    rng = random.Random(seed)
+    rows = []
+    for h in range(hosts):
+        for i in range(each):
+            menu = "".join(f"<a href=x>{sentence(rng, 1)}</a> " for _ in range(rng.randint(3, 6)))
+            paragraphs = [sentence(rng, rng.randint(20, 90)) for _ in range(rng.randint(2, 6))]
+            title, note = sentence(rng, 4), f"{sentence(rng, 6)}"
+            inner = "".join(f"<p>{p}</p>" for p in paragraphs)
+            html = f'<html><body><div class=qa>{menu}</div><div class=qb><h1>{title}</h1>{inner}<div class=qc>Follow all our news</div><p class=qd>Rated by our users</p></div><div class=qe>{note}</div><div class=qf>Made by {sentence(rng, 2)}</div></body></html>'
+            rows.append((h * 1000 + i, f"http://h{h}.example/{i}", html, " ".join([title, *paragraphs])))
+    return rows
+
+
+def brute_tree(pages, evidence, threshold, share):
+    """The tree and what it says, with plain dictionaries: host -> texts of its pages by id."""
+    by_host, out = defaultdict(dict), {}
+    for _, u, t in pages:
+        page = extract.Page(t or "")
+        by_host[extract.host_of(u)].setdefault(page.copy(), {})[extract._digest(t or "")] = page
+    for host, groups in by_host.items():
+        nodes = defaultdict(list)
+        for group in groups.values():
+            for up, path, role, content, style, words in group[min(group)].nodes():
+                nodes[up, path, role].append((content, style, words))
+        for (up, path, role), seen in nodes.items():
+            m = len(seen)
+            texts, styles = Counter(c for c, _, _ in seen), Counter(s for _, s, _ in seen)
+            log = lambda x: math.log(x) / math.log(m) if m > 1 else 0.0
+            presentation = -sum(n / m * log(n / m) for n in styles.values()) if m > 1 else 1.0
+            content = 1 - sum(log(n) for n in texts.values()) / len(texts)
+            information = sum(w * (1 - log(texts[c])) for c, _, w in seen) / m
+            out[host, up, path, role] = (m, 0.1 * presentation + 0.9 * content, information)
+    said = defaultdict(lambda: (set(), set(), set(), set()))
+    known = {h for (h, _, _, role), v in out.items() if role == extract.ROOT and v[0] >= evidence}
+    for (h, up, path, role), (m, importance, information) in out.items():
+        if m < evidence:
+            continue
+        node = extract._digest(f"{h}\x1f{path}")
+        if role in (extract.BLOCK, extract.BOX) and importance < threshold:
+            said[h][0].add(node)
+        beside = [v[2] for (g, u, _, r), v in out.items() if (g, u) == (h, up) and r in (extract.BOX, extract.BESIDE) and v[0] >= evidence and math.floor(100 * math.log10(v[0])) >= math.floor(100 * math.log10(m)) - 100]
+        if role == extract.BOX and information < share * max(beside):
+            said[h][1].add(node)
+        if role == extract.BOX and information >= max(beside) and information > 0:
+            said[h][2].add(node)
+        if role == extract.BESIDE and information >= share * max(beside) and information > 0:
+            said[h][3].add(extract._digest(f"{h}\x1f{up}"))
+    return out, {h: said[h] for h in known}
+
+
+def test_tree_against_plain_dictionaries(spark, monkeypatch):
+    rows = [r[:3] for r in undeclared(1, 3, 12)] + [(9000 + i, "http://h0.example/copy", undeclared(1, 1, 1)[0][2]) for i in range(9)]
+    rows += [(9100 + i, "http://few.example/", f"<div class=ad>x</div><p>{i}</p>") for i in range(3)] + [(9200, None, None), (9200, None, None), (None, "http://h1.example/", "<nav>a</nav><div>b c")]
+    tree, said = brute_tree(rows, extract.EVIDENCE, extract.THRESHOLD, extract.SHARE)
+    want = {(h, extract._digest(f"{h}\x1f{up}"), extract._digest(f"{h}\x1f{path}"), role): v for (h, up, path, role), v in tree.items()}
+    got = {(r["host"], r["up"], r["node"], r["role"]): (r["pages"], r["importance"], r["information"]) for r in extract.style_tree(pages_of(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+    texts = sorted((repr(i), extract.Page(t or "").text(extract.host_of(u), said.get(extract.host_of(u)))) for i, u, t in rows)
+    for nodes, salted in ((extract.NODES, extract.SALTED), (0, 4)):
+        monkeypatch.setattr(extract, "NODES", nodes)
+        monkeypatch.setattr(extract, "SALTED", salted)
+        assert sorted((repr(r["page_id"]), r["text"]) for r in extract.extracted(pages_of(spark, rows)).collect()) == texts
+
+
+def test_the_tree_decides_without_landmarks_and_names(spark):
+    rows = undeclared(2, 4, 25)
+    pages = pages_of(spark, [r[:3] for r in rows])
+    with_tree = {r["page_id"]: r["text"] for r in extract.extracted(pages).collect()}
+    without = {r["page_id"]: r["text"] for r in extract.extracted(pages, evidence=10**9).collect()}
+    assert with_tree == {i: text for i, _, _, text in rows}  # all planted boilerplate goes, all of the story stays
+    assert all("Follow all our news" in t and "Rated by our users" in t and "Made by" in t for t in without.values())
+
+
+def test_names_do_not_remove_the_strongest_branch_and_readers_go(spark):
+    rng = random.Random(4)
+    want, rows = {}, []
+    for i in range(20):
+        story, remark = sentence(rng, 60), sentence(rng, 80)
+        want[i] = story
+        rows.append((i, "http://h.example/", f"<body><div class=sidebar-layout><p>{story}</p></div><div class=notice>{sentence(rng, 30)}</div><div class=comments><p>{remark}</p></div></body>"))
+    assert {r["page_id"]: r["text"] for r in extract.extracted(pages_of(spark, rows)).collect()} == want
+
+
+def test_copies_of_an_article_with_new_adverts_are_one_page(spark):
+    rng = random.Random(5)
+    story = sentence(rng, 100)
+    rows = [(i, "http://h.example/", f"<body><div class=x>{sentence(rng, 12)}</div><article><p>{story}</p></article></body>") for i in range(30)]
+    assert {r["text"] for r in extract.extracted(pages_of(spark, rows)).collect()} == {story}
+    assert extract.style_tree(pages_of(spark, rows)).agg(F.max("pages")).first()[0] == 1
+
+
+def test_op8_query(spark, tmp_path):
+    rows = [r[:3] for r in undeclared(6, 1, 10)] + [(500, None, None), (501, "u", "<article>é&amp;x</article>")]
+    pages_of(spark, rows).select("page_id", "url", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: r for r in extract.op8(spark, str(tmp_path)).collect()}
+    want = {i: t for i, _, _, t in undeclared(6, 1, 10)} | {500: "", 501: "é&x"}
+    assert {i: (r["url"], r["text"], r["n_chars"]) for i, r in got.items()} == {i: (u, want[i], len(want[i])) for i, u, _ in rows}
