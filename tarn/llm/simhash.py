@@ -2,8 +2,8 @@
 
 1. Each text becomes a 64-bit fingerprint: bit b is 1 if it is set in over half
    of the XXH64 hashes of its word shingles (repeats included).
-2. Equal fingerprints are one vertex (its smallest document), so that groups of
-   copies, however large, cost one row.
+2. Equal fingerprints are one vertex, so that groups of copies, however large,
+   cost one row.
 3. Pigeonhole: cut into ``blocks`` parts, two fingerprints at most ``radius``
    bits apart agree on ``blocks - radius`` parts at least. Every choice of that
    many parts is a join key; more blocks give longer keys, so buckets stay small
@@ -12,10 +12,18 @@
    on (never all pairs), then components come from alternating min-label rounds,
    checkpointed, none of it on the driver.
 
+``keepers`` does the same for a similarity of shingle sets (five words, 0.8): 64
+bits can't tell 0.8 from 0.7, so it takes wide fingerprints over the different
+shingles of a text, whose Hamming distance estimates the similarity (standard
+error 0.018 with 2048 bits), cuts them into as many blocks as let 98 % of the
+pairs at 0.8 share one, and verifies the distance over all bits.
+
 Defined cases: a null or empty text, or one of white space, has fingerprint 0,
 linked like any other; fewer words than a shingle make one shingle; repeated
-rows share a component; null ids are a vertex of their own that sorts first and
-come back null; other columns are ignored; an empty table gives no rows.
+rows share a component; null ids come back null and never name a component that
+has another id (a component of null ids alone has the id null); rows with null
+or repeated ids are linked by their texts alone; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -216,6 +224,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], by: int) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches in runs that cut no group of equal values in the first ``by`` columns; what is held
+    is a batch and a group."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        last = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:by]], axis=0))
+        begun = bool(held) and any(h[-1] != c[0] for h, c in zip(held[-1][:by], cols[:by], strict=True))
+        at = int(last[-1]) + 1 if len(last) else 0
+        if at or begun:
+            yield [np.concatenate(x) for x in zip(*held, [c[:at] for c in cols], strict=True)]
+            held = []
+        held.append([c[at:] for c in cols])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def near_links(vertices: DataFrame, count: int, radius: int = 3) -> DataFrame:
     """Pairs (v, u), u < v, whose closure has the same components as all links of fingerprints at most ``radius`` bits apart."""
     blocks = radius + 1
@@ -225,28 +252,25 @@ def near_links(vertices: DataFrame, count: int, radius: int = 3) -> DataFrame:
     free = {i: [b for b in range(64) if not m >> b & 1] for i, m in enumerate(masks)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table, key, fp, ident = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in ("tab", "key", "fp", "v"))
-        order = np.lexsort((ident, key, table))
-        a, b = bucket_forest(key[order], fp[order].view(_U), ident[order], radius, free, table[order])
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["v", "u"])
+        for table, key, fp, ident in whole_groups(batches, ["tab", "key", "fp", "v"], 2):
+            a, b = bucket_forest(key, fp.view(_U), ident, radius, free, table)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["v", "u"])
 
     tables = F.array(*[F.struct(F.lit(i).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     exploded = vertices.select("fp", "v", F.explode(tables).alias("b")).select("b.tab", "b.key", "fp", "v")
-    return exploded.repartition(scan.partitions(vertices), "tab", "key").mapInArrow(run, "v long, u long")
+    return exploded.repartition(scan.partitions(vertices), "tab", "key").sortWithinPartitions("tab", "key", "v").mapInArrow(run, "v long, u long")
 
 
 def components(links: DataFrame) -> DataFrame:
     """v, c: for every vertex with a smaller one in its component, the smallest. Alternating large-star and small-star
-    rounds; each is one checkpointed shuffle pair, and their number grows with the logarithm of the longest path."""
+    rounds, checkpointed; their number grows with the logarithm of the longest path. The least neighbours are written
+    before they are joined, so that both sides of the joins are plain shuffles and the rows of a hub can be split."""
     edges = scan.cut(links.where("u < v").distinct())
     while True:
         # large-star: every larger neighbour of x moves to the smallest of x's neighbourhood
         both = edges.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
+        low = scan.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = scan.cut(both.join(low, "a").where("b > a").select(F.col("b").alias("v"), F.col("m").alias("u")).where("u < v").distinct())
         # small-star: the smaller neighbours of x, and x, move to the smallest of them
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).where("u < v").distinct()
@@ -258,12 +282,163 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: k (NO_KEY for null), fp, c (the smallest key reachable, itself included)."""
+    """One row per input row: k (NO_KEY for null), fp, c (the smallest key reachable, itself included; null if none of
+    them has a key). Vertices are fingerprints, never keys, so rows that share a key (or have none) are linked only if
+    their fingerprints are."""
     prints = scan.cut(fingerprints(docs, key, text, shingle, seed))
-    vertices = scan.cut(prints.groupBy("fp").agg(F.min("k").alias("v")))
-    comp = components(near_links(vertices, vertices.count(), radius))
-    label = vertices.join(comp, "v", "left").select("fp", F.coalesce("c", "v").alias("c"))
-    return prints.join(label, "fp")
+    vertices = scan.cut(prints.groupBy("fp").agg(F.min(scan.unkeyed()).alias("least")))
+    comp = components(near_links(vertices.select("fp", F.col("fp").alias("v")), vertices.count(), radius))
+    named = scan.cut(vertices.join(comp, vertices["fp"] == comp["v"], "left").select("fp", F.coalesce("c", "fp").alias("root"), "least"))
+    roots = scan.cut(named.groupBy("root").agg(F.min("least").alias("c")))
+    return prints.join(scan.cut(named.join(roots, "root").select("fp", "c")), "fp")
+
+
+# -- similarity of word shingles -----------------------------------------------------------------------------------------
+
+#: Bits of a wide fingerprint at least, and chance that a pair at the least similarity shares a block.
+BITS, CAUGHT = 2048, 0.98
+#: Bits of 64 in which a pair may differ before it is compared in all.
+AHEAD = 22
+#: For each byte a 64-bit word with each bit in a lane of 8 bits.
+_BYTES = np.array([sum(((v >> b) & 1) << (8 * b) for b in range(8)) for v in range(256)], _U)
+
+
+def apart(likeness: float) -> float:
+    """Share of bits in which the fingerprints of two sets of this Jaccard similarity (and of like size) differ: the angle
+    between the sets' vectors over pi."""
+    return float(np.arccos(2 * likeness / (1 + likeness)) / np.pi)
+
+
+def wide_blocks(count: int, likeness: float, caught: float = CAUGHT) -> tuple[int, int, int]:
+    """Bits of a block, blocks and bits of a fingerprint for ``count`` fingerprints. A block has so many bits that
+    chance puts about 16 of them into a bucket; blocks are so many that a pair of the likeness shares one with the
+    chance ``caught``. (That all such pairs share one would take more blocks than bits they differ in, each of 5 bits.)"""
+    width = max(16, min(40, (max(count, 1) - 1).bit_length() - 4))
+    blocks = int(np.ceil(np.log(1 - caught) / np.log(1 - (1 - apart(likeness)) ** width)))
+    return width, blocks, max(BITS, -(-width * blocks // 64) * 64)
+
+
+def wide_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, words: int) -> np.ndarray:
+    """For each text ``words`` 64-bit words: bits set in over half of the hashes of its different word shingles (A-Z lowered;
+    fewer words: all of them); 0 for a text without words."""
+    data = scan.LOWER[data]
+    starts, ends, first = scan.spans(data, offsets, scan.NON_SPACE)
+    h = scan.word_hashes(data, starts, ends)
+    n = np.diff(first)
+    out = np.zeros((len(n), words), _U)
+    w = scan.windows(h, shingle)
+    at = np.flatnonzero(scan.inside(first, shingle, len(h)))
+    doc = np.searchsorted(first, at, "right") - 1
+    short = np.flatnonzero((n > 0) & (n < shingle))
+    with np.errstate(over="ignore"):
+        brief = np.array([scan.windows(h[first[i] : first[i + 1]], int(n[i]))[0] + _U(n[i]) for i in short], _U)
+    doc, w = np.concatenate((doc, short)), np.concatenate((w[at], brief))
+    code = np.unique((doc.astype(_U) << _U(44)) | (scan.mix(w, 17) >> _U(20)))
+    doc, code = (code >> _U(44)).astype(np.int64), code & _U((1 << 44) - 1)
+    size = np.bincount(doc, minlength=len(n))
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    full = np.flatnonzero(size)
+    if not len(full):
+        return out
+    parts = -(-size[full] // 255)  # runs in which no lane of 8 bits overflows
+    owner = np.repeat(np.arange(len(full)), parts)
+    cuts = bounds[full][owner] + 255 * (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts))
+    begin = np.cumsum(parts) - parts
+    for x in range(words):
+        each = scan.mix(code, 1000 + x).view(np.uint8).reshape(-1, 8)
+        for byte in range(8):
+            lanes = np.add.reduceat(_BYTES[each[:, byte]], cuts).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(lanes, begin, axis=0, dtype=np.int64)
+            bits = (ones * 2 > size[full][:, None]).astype(np.uint8)
+            out[full, x] |= np.packbits(bits, axis=1, bitorder="little")[:, 0].astype(_U) << _U(8 * byte)
+    return out
+
+
+def _block(fp: np.ndarray, i: int, width: int) -> np.ndarray:
+    word, shift = divmod(i * width, 64)
+    key = fp[:, word] >> _U(shift)
+    if shift + width > 64:
+        key = key | fp[:, word + 1] << _U(64 - shift)
+    return key & _U((1 << width) - 1)
+
+
+def with_mates(bucket: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Which rows (sorted by bucket) have another in their bucket whose word differs in at most ``AHEAD`` bits; in a
+    bucket beyond ``_PAIRS`` rows all are taken to have."""
+    n = len(bucket)
+    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    size = np.diff(np.append(head, n))
+    found = np.repeat(size > _PAIRS, size)
+    last = np.repeat(head + size, size)
+    step = 1
+    live = np.flatnonzero(~found & (np.arange(n) + 1 < last))
+    while len(live):
+        near = live[_popcount(word[live] ^ word[live + step]) <= AHEAD]
+        found[near] = found[near + step] = True
+        step += 1
+        live = live[live + step < last[live]]
+    return found
+
+
+def wide_forest(fp: np.ndarray, ident: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links in one bucket (different fingerprints). Each round takes a leader that has no class
+    yet and unites with it what is near; then only members of different classes whose leaders are at most three radii
+    apart are compared, so a group of near copies around one text costs a comparison each."""
+    n = len(ident)
+    parent = np.arange(n)
+    distance = lambda a, rows: _popcount(fp[rows] ^ fp[a]).sum(1, dtype=np.int64)
+    left, groups = np.arange(n), []
+    while len(left):
+        near = distance(left[0], left) <= radius
+        groups.append(left[near])
+        parent[left[near]] = left[0]
+        left = left[~near]
+    leaders = np.array([g[0] for g in groups])
+    for i, g in enumerate(groups):
+        for j in np.flatnonzero(distance(leaders[i], leaders[i + 1 :]) <= 3 * radius) + i + 1:
+            for x in g:
+                if _find(parent)[leaders[i]] == _find(parent)[leaders[j]]:
+                    break
+                near = groups[j][distance(x, groups[j]) <= radius]
+                if len(near):
+                    parent = _hook(_find(parent), np.array([x]), near[:1])
+    parent = _find(parent)
+    child = np.flatnonzero(parent != np.arange(n))
+    return ident[child], ident[parent[child]]
+
+
+def similar_links(vertices: DataFrame, width: int, blocks: int, radius: int) -> DataFrame:
+    """Pairs (v, u), u < v, whose closure has the components of all links of wide fingerprints (fp, binary) that share a
+    block and differ in at most ``radius`` bits. First only a 64-bit word travels with each block; whole fingerprints
+    follow for those that have a mate by it."""
+    parts = scan.partitions(vertices)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ident = part.column("v").to_numpy()
+                fp = np.frombuffer(b"".join(part.column("fp").to_pylist()), _U).reshape(len(ident), -1)
+                words = fp.shape[1]
+                bucket = np.concatenate([_block(fp, i, width) | _U(i << width) for i in range(blocks)])
+                other = np.concatenate([fp[:, (i * width // 64 + words // 2) % words] for i in range(blocks)])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(other.view(np.int64)), pa.array(np.tile(ident, blocks))], ["bucket", "word", "v"])
+
+    def mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, word, ident in whole_groups(batches, ["bucket", "word", "v"], 1):
+            ok = with_mates(bucket, word.view(_U))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[ok]), pa.array(ident[ok])], ["bucket", "v"])
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, ident, fp in whole_groups(batches, ["bucket", "v", "fp"], 1):
+            head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            for a, b in zip(head, np.append(head[1:], len(bucket)), strict=True):
+                links = wide_forest(np.frombuffer(b"".join(fp[a:b]), _U).reshape(b - a, -1), ident[a:b], radius)
+                if len(links[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["v", "u"])
+
+    found = vertices.mapInArrow(explode, "bucket long, word long, v long").repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(mates, "bucket long, v long")
+    return found.join(vertices, "v").select("bucket", "v", "fp").repartition(parts, "bucket").sortWithinPartitions("bucket", "v").mapInArrow(forest, "v long, u long")
 
 
 def identity(key: str = "doc_id", text: str = "text") -> dict[str, Column]:
@@ -272,13 +447,24 @@ def identity(key: str = "doc_id", text: str = "text") -> dict[str, Column]:
     return {"k": F.coalesce(F.col(key).cast("long"), F.lit(scan.NO_KEY)), "h": F.xxhash64(t), "g": F.xxhash64(F.lit(1), t)}
 
 
-def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
-    """The identity (k, h, g) of the first row of each component. Vertices are fingerprints, never ids, so rows that
-    share an id and differ in text don't join their components."""
+def keepers(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, likeness: float = 0.8) -> DataFrame:
+    """The identity (k, h, g) of the first row of each component of texts whose sets of word shingles are alike by at least
+    ``likeness``, as their wide fingerprints tell. Rows that share an id and differ in text don't join their components."""
+    width, blocks, bits = wide_blocks(docs.count(), likeness)
+    names = ["k", "h", "g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in scan.slices(batches, "t"):
+            fp = wide_fingerprints(data, offsets, shingle, bits // 64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([x.tobytes() for x in fp], pa.binary())], [*names, "fp"])
+
     more = {n: c for n, c in identity(key, text).items() if n != "k"}
-    prints = scan.cut(fingerprints(docs, key, text, shingle, seed, more).groupBy("fp").agg(F.min(F.struct("k", "h", "g")).alias("first")))
-    comp = components(near_links(prints.select("fp", F.col("fp").alias("v")), prints.count(), radius))
-    label = prints.join(comp, prints["fp"] == comp["v"], "left").select(F.coalesce("c", "fp").alias("c"), "first")
+    rows = scan.keyed(docs, key, text, *[c.alias(n) for n, c in more.items()])
+    prints = rows.mapInArrow(run, "k long, h long, g long, fp binary")
+    first = prints.groupBy("fp").agg(F.min(F.struct(*names)).alias("first"))
+    vertices = scan.cut(first.select(F.monotonically_increasing_id().alias("v"), "fp", "first"))
+    comp = components(similar_links(vertices.select("v", "fp"), width, blocks, round(bits * apart(likeness))))
+    label = vertices.select("v", "first").join(comp, "v", "left").select(F.coalesce("c", "v").alias("c"), "first")
     return label.groupBy("c").agg(F.min("first").alias("first")).select("first.*")
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -35,17 +36,150 @@ def groups(prints):
     return {k: find(k) for k in keys}
 
 
+def named(texts):
+    """(id, fingerprint, component id) of every row by brute force; ids may be null or repeated."""
+    prints = {t: fingerprint(t) for _, t, _ in texts}
+    different = sorted(set(prints.values()))
+    root = groups({i: x for i, x in enumerate(different)})
+    of = {x: root[i] for i, x in enumerate(different)}
+    least = {}
+    for i, t, _ in texts:
+        if i is not None:
+            c = of[prints[t]]
+            least[c] = min(least.get(c, i), i)
+    return sorted(((i, prints[t], least.get(of[prints[t]])) for i, t, _ in texts), key=repr)
+
+
 def test_near_duplicates_against_brute_force(docs, texts):
-    key = lambda i: scan.NO_KEY if i is None else i
-    prints = {key(i): fingerprint(t) for i, t, _ in texts}
-    want = groups(prints)
+    unkey = lambda i: None if i == scan.NO_KEY else i
     rows = simhash.near_duplicates(docs).collect()
-    assert len(rows) == len(texts)
-    for r in rows:
-        assert (r["fp"] & (1 << 64) - 1, r["c"]) == (prints[r["k"]], want[r["k"]])
+    assert sorted(((unkey(r["k"]), r["fp"] & (1 << 64) - 1, r["c"]) for r in rows), key=repr) == named(texts)
+    want = {i: c for i, _, c in named(texts)}
     assert want[104] == 100 and want[162] == want[160] == 160
 
 
+def test_op10_with_null_and_repeated_ids(spark, tmp_path):
+    a, b, c, d = (words(300 + i, 60) for i in range(4))  # noqa: F405
+    texts = [(1, a, "en"), (None, a, "en"), (2, b, "en"), (None, b, "en"), (None, c, "en"), (None, c, "en"), (5, a, "en"), (5, d, "en"), (7, d, "en"), (7, d, "en"), (8, None, "en"), (9, " ", "en")]
+    spark.createDataFrame(rows_of(texts), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")  # noqa: F405
+    got = [(r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in simhash.op10(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == named(texts)
+    assert {(i, x) for i, _, x in got} == {(1, 1), (None, 1), (5, 1), (2, 2), (None, 2), (None, None), (5, 5), (7, 5), (8, 8), (9, 8)}
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none/documents.parquet")  # noqa: F405
+    assert simhash.op10(spark, f"{tmp_path}/none").collect() == []
+
+
+def shingles(text, n=5):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_wide_fingerprints_estimate_similarity():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    base = words(1, 600).split(" ")  # noqa: F405
+    texts = ["", " \n", "one two", "one  TWO", "one", " ".join(base), " ".join(base) * 2]
+    for changes in (1, 5, 10, 20, 40, 80):
+        w = list(base)
+        for i in rng.choice(len(w), changes, replace=False):
+            w[i] = f"new{i}"
+        texts.append(" ".join(w))
+    fp = simhash.wide_fingerprints(*scan.buffers(pa.array(texts)), 5, 32)
+    sets = [shingles(t) for t in texts]
+    for i in range(2, len(texts)):
+        for j in range(5, i):
+            want, bits = alike(sets[i], sets[j]), int(np.bitwise_count(fp[i] ^ fp[j]).sum())
+            if want >= 0.5:
+                assert abs(bits / 2048 - simhash.apart(want)) < 0.045
+            elif want < 0.05:
+                assert bits > 700
+    assert (fp[0] == 0).all() and (fp[1] == 0).all() and (fp[2] == fp[3]).all() and (fp[2] != fp[4]).any()
+    mixed = simhash.scan.mix(np.array([5, 9], np.uint64), 1)
+    assert mixed[0] != mixed[1]
+
+
+def test_wide_fingerprints_against_a_loop():
+    import pyarrow as pa
+
+    texts = [words(i, n) for i, n in enumerate((1, 4, 5, 6, 300, 1500))]  # noqa: F405
+    got = simhash.wide_fingerprints(*scan.buffers(pa.array(texts)), 5, 2)
+    for t, fp in zip(texts, got, strict=True):
+        data, offsets = scan.buffers(pa.array([t]))
+        h = scan.word_hashes(data, *scan.spans(data, offsets, scan.NON_SPACE)[:2])
+        with np.errstate(over="ignore"):
+            w = scan.windows(h, 5) if len(h) >= 5 else scan.windows(h, len(h)) + np.uint64(len(h))
+        code = {int(x) >> 20 for x in scan.mix(w, 17)}
+        for x in range(2):
+            mixed = [int(v) for v in scan.mix(np.array(sorted(code), np.uint64), 1000 + x)]
+            assert int(fp[x]) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in mixed) > len(mixed))
+
+
+def test_forest_of_a_bucket_has_the_components_of_all_pairs():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n, words_, radius = int(rng.integers(2, 60)), 4, int(rng.integers(20, 60))
+        fp = rng.integers(0, 1 << 63, (3, words_), np.int64).astype(np.uint64)[rng.integers(0, 3, n)]
+        for i in range(n):
+            for b in rng.choice(256, int(rng.integers(0, 45)), replace=False):
+                fp[i, b // 64] ^= np.uint64(1 << (b % 64))
+        ident = np.sort(rng.choice(1000, n, replace=False))
+        up = {int(i): int(i) for i in ident}
+
+        def find(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i in range(n):
+            for j in range(i):
+                if np.bitwise_count(fp[i] ^ fp[j]).sum() <= radius:
+                    x, y = sorted((find(int(ident[i])), find(int(ident[j]))))
+                    up[y] = x
+        a, b = simhash.wide_forest(fp, ident, radius)
+        got = {int(i): int(i) for i in ident} | dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert got == {i: find(i) for i in up}
+
+
+def near_copies(seed, groups_, n=200):
+    """Groups of a text and copies with some words changed, and texts of their own."""
+    rng = random.Random(seed)
+    out, k = [], 0
+    for g in range(groups_):
+        base = words(seed * 1000 + g, n).split(" ")  # noqa: F405
+        for c in range(1 + g % 6):
+            w = list(base)
+            for _ in range(c * (g % 4)):
+                w[rng.randrange(n)] = f"changed{rng.randrange(10**6)}"
+            out.append((k, " ".join(w), "en"))
+            k += 1
+    return out
+
+
+def test_keepers_by_similarity_of_five_words(spark):
+    texts = near_copies(3, 60)
+    sets = {i: shingles(t) for i, t, _ in texts}
+    links = {(i, j): s for i in sets for j in sets if j < i and (s := alike(sets[i], sets[j])) > 0.7}
+    root = {}
+    for least in (0.76, 0.84):
+        up = {i: i for i in sets}
+        for (i, j), s in sorted(links.items()):
+            if s >= least:
+                a, b = i, j
+                while up[a] != a:
+                    a = up[a]
+                while up[b] != b:
+                    b = up[b]
+                up[max(a, b)] = min(a, b)
+        root[least] = {i for i in sets if up[i] == i}
+    got = {r["k"] for r in simhash.keepers(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}  # noqa: F405
+    assert root[0.76] <= got <= root[0.84] and len(got) < len(texts)
+
+
 def test_chain_of_links_and_large_bucket(spark, monkeypatch):
     """A path whose ends are far apart, and a bucket beyond the pair limit, give one component each."""
     monkeypatch.setattr(simhash, "_PAIRS", 8)
