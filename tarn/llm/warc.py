@@ -2,8 +2,10 @@
 
 Writer: payload digests are counted first (one row a digest moves, not the
 payloads): of equal payloads of at least ``least`` bytes the one with the largest
-id is stored, the others refer to it and carry no payload. Tasks then write their
-records straight to archives in a folder that all executors reach (by default
+id is stored, the others refer to it and carry no payload. The digests that recur
+are broadcast if there are at most ``TOLD`` of them, so that payloads aren't
+shuffled; beyond that rows are joined by digest, payloads with them. Tasks write
+their records straight to archives in a folder that all executors reach (by default
 under spark.checkpoint.dir; local paths, or any store that pyarrow opens). Every
 attempt writes files of its own names and the manifest has those of the attempts
 that counted, so lost executors and repeated tasks do no harm.
@@ -15,8 +17,9 @@ digest. Memory is one record.
 
 Defined cases: a null html is an empty payload; a null url becomes an empty
 target; null ids are written as an empty id and come back null (among equal
-payloads they are the smallest); repeated rows with one id refer to it, one stays
-the response; other columns are ignored; an empty table gives no archive and no
+payloads they are the smallest; where all ids are null, one row is the response
+and refers_to of the others is null); of rows that share the largest id of their
+payload one is the response (the first by target), the others refer to it; other columns are ignored; an empty table gives no archive and no
 rows; a damaged archive raises an error.
 """
 
@@ -31,7 +34,7 @@ from contextlib import contextmanager
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm import scan
@@ -40,6 +43,8 @@ from tarn.llm import scan
 LEAST = 1000
 #: Bytes after which a task begins another archive, and bytes read at once.
 ARCHIVE, CHUNK = 256 << 20, 1 << 18
+#: Recurring digests that are broadcast.
+TOLD = 200_000
 LEVEL = 6
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -66,11 +71,11 @@ def opened(path: str, mode: str) -> Iterator[BinaryIO]:
             yield f
 
 
-def record(kind: str, ident: str, url: str, payload: bytes, digest: str, refers: str | None = None) -> bytes:
-    """One record, uncompressed: header lines, an empty line, the block, two empty lines."""
+def record(kind: str, ident: str, url: str, payload: bytes, digest: str, refers: str = "") -> bytes:
+    """One record, uncompressed: header lines, an empty line, the block, two empty lines. Only a response has a payload."""
     block = payload if kind == "response" else b""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{ident}>", f"WARC-Target-URI: {clean(url)}", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: text/html; charset=utf-8", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}", f"WARC-Block-Digest: sha1:{hashlib.sha1(block).hexdigest()}"]
-    if refers is not None:
+    if kind == "revisit":
         lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{refers}>"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -127,27 +132,35 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def planned(pages: DataFrame, key: str, url: str, html: str, least: int = LEAST) -> DataFrame:
-    """id, url, html, digest, refers: who refers to whom. Only digests that recur take part in the join; its small side
-    is broadcast by Spark only below its own size limit, and hot digests of the large side are split by AQE."""
+    """id, url, html, digest, revisit, refers: who refers to whom. Rows are numbered only where several share the largest
+    id of their payload; beyond the broadcast the hot digests of the join are split by AQE."""
     t = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), t.alias("html"), F.sha1(t.cast("binary")).alias("digest"))
-    big = rows.where(F.octet_length("html") >= least).select("id", "digest")
-    again = big.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("last")).where("n > 1").select(F.col("digest").alias("again"), "last")
-    return rows.join(again, rows["digest"] == again["again"], "left").select("id", "url", "html", "digest", F.when(F.col("again").isNotNull() & ~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers"))
+    big = rows.where(F.octet_length("html") >= least).groupBy("digest", "id").agg(F.count("*").alias("n"))
+    again = big.groupBy("digest").agg(F.sum("n").alias("n"), F.max("id").alias("last"), F.coalesce(F.max_by("n", "id"), F.max("n")).alias("tied")).where("n > 1")
+    again = scan.cut(again.select(F.col("digest").alias("again"), "last", "tied"))
+    again = F.broadcast(again) if again.count() <= TOLD else again
+    found = rows.join(again, rows["digest"] == again["again"], "left")
+    out = ["id", "url", "html", "digest", "revisit", F.when(F.col("revisit"), F.col("last")).alias("refers")]
+    largest = F.col("id").eqNullSafe(F.col("last"))
+    tied = F.coalesce(largest & (F.col("tied") > 1), F.lit(False))
+    alone = found.where(~tied).withColumn("revisit", F.col("again").isNotNull() & ~largest)
+    first = F.row_number().over(Window.partitionBy("digest", "id").orderBy("url"))
+    return alone.select(*out).unionByName(found.where(tied).withColumn("revisit", first > 1).select(*out))
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST, archive: int = ARCHIVE, level: int = LEVEL) -> DataFrame:
     """Writes the archives; path, records and bytes of each, held in the shared folder."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in zip(*(b.column(c).slice(at, 64).to_pylist() for c in ("id", "url", "html", "digest", "refers")), strict=True))
+        rows = (r for b in batches for at in range(0, b.num_rows, 64) for r in zip(*(b.column(c).slice(at, 64).to_pylist() for c in ("id", "url", "html", "digest", "revisit", "refers")), strict=True))
         ahead = next(rows, None)
         while ahead is not None:
             path, size, count = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
             with opened(path, "wb") as f:
                 while ahead is not None and size < archive:
-                    ident, where, text, digest, refers = ahead
-                    data = member(record("response" if refers is None else "revisit", "" if ident is None else str(ident), where, text.encode(), digest, None if refers is None else str(refers)), level)
+                    ident, where, text, digest, revisit, refers = ahead
+                    data = member(record("revisit" if revisit else "response", "" if ident is None else str(ident), where, text.encode(), digest, "" if refers is None else str(refers)), level)
                     f.write(data)
                     size, count = size + len(data), count + 1
                     ahead = next(rows, None)
@@ -157,8 +170,8 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of the archives in ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to and
-    the block (the payload of a response; empty for a revisit)."""
+    """The records of the archives in ``path``: page_id, url, record_type, payload_bytes (counted for a response, as
+    declared by a revisit), payload_digest, refers_to and the block (the payload of a response; empty for a revisit)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +181,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 with opened(path, "rb") as f:
                     for data in members(f):
                         h, block = parsed(data)
-                        rows.append((_ident(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), _ident(h.get("warc-refers-to", "")), block))
+                        rows.append((_ident(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], len(block) if h["warc-type"] == "response" else int(h["warc-payload-length"]), h["warc-payload-digest"].removeprefix("sha1:"), _ident(h.get("warc-refers-to", "")), block))
                         size += len(block)
                         if size > 4 << 20 or len(rows) >= 4096:
                             yield _batch(rows)
