@@ -9,8 +9,9 @@ verbatim match and where it is, and a second search gives the range of all
 suffixes that begin with a whole window. Words inside any such occurrence are
 hit. There is no shuffle: a document is judged where it is read.
 
-The benchmark is taken in blocks of at most ``block_bytes`` of text, each a pass
-over the documents, so what tasks receive has a bound whatever its size.
+The benchmark is taken in blocks of at most ``block_bytes`` of text (or one item),
+each a pass of its own over the documents whose result is written before the next
+begins: driver and workers hold two blocks at most, whatever the benchmark's size.
 
 Words: A-Z lowered, runs of digits, a-z and non-ASCII characters. A window: 10
 consecutive words of an item; an item of fewer words, but not none, is one
@@ -226,7 +227,8 @@ def doc_sums(hit: np.ndarray, begin: np.ndarray, words: np.ndarray) -> np.ndarra
 
 
 def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_BYTES) -> Iterator[tuple[list[str | None], list[str | None]]]:
-    """The items in parts of at most ``limit`` bytes of text (or one item), one after another through the driver."""
+    """The items in parts of at most ``limit`` bytes of text (or one item), one after another; a part is made when it is
+    asked for, and the driver has one partition of the benchmark beside it."""
     ids: list[str | None] = []
     texts: list[str | None] = []
     size = 0
@@ -261,13 +263,13 @@ def _shards(batches: Iterator[pa.RecordBatch], tests: Tests, words: int) -> Iter
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, shard_words: int = SHARD_WORDS, more: list[str] | None = None) -> DataFrame:
     """One row per document: k (NO_KEY for null), n_words, n_hit, items (their ids as sorted strings), n_items; with
     ``more`` also the text t and those columns as a struct. Hit words are a bit map while there are several blocks."""
-    parts = [Tests(i, t, window) for i, t in blocks(benchmark, item, text, block_bytes)]
     extra = bool(more)
     source = scan.keyed(docs, key, text, *([F.struct(*[F.col(c) for c in more]).alias("more")] if more else []))
     kind = source.schema["more"].dataType.simpleString() if more else ""
 
-    def judge(tests: Tests, last: bool):
+    def judge(shared, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tests = shared.value
             for shard, held in _shards(batches, tests, shard_words):
                 hit, _, items = shard.judged()
                 at = 0
@@ -300,10 +302,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
         return run
 
-    for i, tests in enumerate(parts):
-        last = i == len(parts) - 1
+    parts = blocks(benchmark, item, text, block_bytes)
+    block = next(parts)
+    while block is not None:
+        following = next(parts, None)
+        last = following is None
         out = "k long, " + ("t string, " if extra or not last else "") + ("" if last else "bits binary, ") + "n_words long, n_hit long, items array<string>" + (f", more {kind}" if more else "")
-        source = source.mapInArrow(judge(tests, last), out)
+        shared = docs.sparkSession.sparkContext.broadcast(Tests(*block, window))
+        source = source.mapInArrow(judge(shared, last), out)
+        if not last:
+            source = scan.cut(source)
+            shared.destroy()
+        block = following
     return source.withColumn("n_items", F.size("items").cast("long"))
 
 
@@ -312,9 +322,10 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
     key that has it, and the match's first word there. One row a suffix and shard is shuffled."""
     out = None
     for ids, texts in blocks(benchmark, item, text, block_bytes):
-        tests = Tests(ids, texts)
+        shared = docs.sparkSession.sparkContext.broadcast(Tests(ids, texts))
 
-        def run(batches: Iterator[pa.RecordBatch], tests: Tests = tests) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            tests = shared.value
             for shard, held in _shards(batches, tests, shard_words):
                 best, where = shard.longest()
                 i = np.flatnonzero(best)
@@ -323,9 +334,11 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([tests.ids[x] for x in tests.item[i]], pa.string()), pa.array(tests.suffix[i] - tests.begin[tests.item[i]]), pa.array(best[i]), pa.array(keys[doc]), pa.array(where[i] - shard.begin[doc])], ["item", "at", "words", "k", "pos"])
 
         part = scan.keyed(docs, key, text).mapInArrow(run, "item string, at long, words long, k long, pos long")
+        part = scan.cut(part.groupBy("item", "at").agg(F.min(F.struct((-F.col("words")).alias("less"), "k", "pos")).alias("b")))
+        shared.destroy()
         out = part if out is None else out.unionByName(part)
-    best = out.groupBy("item", "at").agg(F.min(F.struct(-F.col("words"), "k", "pos")).alias("b"))
-    return best.select("item", "at", (-F.col("b.col1")).alias("words"), scan.unkeyed("b.k").alias("k"), "b.pos")
+    best = out.groupBy("item", "at").agg(F.min("b").alias("b"))
+    return best.select("item", "at", (-F.col("b.less")).alias("words"), scan.unkeyed("b.k").alias("k"), "b.pos")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

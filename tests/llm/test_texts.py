@@ -189,6 +189,15 @@ def test_contamination_against_brute_force(spark, docs, texts, block, shard):
         assert r["more"]["k"] == "k"
 
 
+def test_a_benchmark_of_many_blocks_takes_one_worker_at_a_time(spark, docs, texts):
+    items = [(i, words(100 + i, 12) if i % 2 else words(500, 80)[i : i + 90]) for i in range(40)]  # noqa: F405
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    assert len(list(decontam.blocks(bench, "item_id", "text", 1))) == 40
+    rows = decontam.contaminated(docs, bench, block_bytes=1)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(((r["k"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows.collect())) == sorted((KEY(i), *contamination([(i, t, l)], items)[KEY(i)][:2], tuple(contamination([(i, t, l)], items)[KEY(i)][2])) for i, t, l in texts)
+
+
 def test_suffix_array_and_longest_matches(spark):
     rng = np.random.default_rng(2)
     for tokens in (rng.integers(0, 3, 400), np.ones(300, np.int64), rng.integers(0, 900, 500)):
