@@ -371,12 +371,19 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _chunks(giants: DataFrame, size: int, reach: int) -> DataFrame:
-    """k, h, i, n and the chunk's text with ``reach`` characters on either side; a leading space is added to the text."""
+    """k, h, i, n and the chunk's text with ``reach`` characters on either side; a leading space is added to the text,
+    which is cut in one pass (what stands beside a chunk is taken from its neighbours, so they have ``reach`` at least)."""
     t = F.concat(F.lit(" "), F.replace("t", F.lit(SPACE), F.lit(" ")))
-    rows = giants.select("k", "h", t.alias("t"), F.ceil(F.length(t) / size).cast("int").alias("n"))
-    rows = rows.select("k", "h", "t", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    begin = F.greatest(F.col("i") * size - reach, F.lit(0))
-    return rows.select("k", "h", "i", "n", F.substr("t", begin + 1, F.lit(size) + reach + (F.col("i") * size - begin)).alias("c"))
+    rows = giants.select("k", "h", F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("cs"))
+    rows = rows.select("k", "h", F.size("cs").alias("n"), F.posexplode(_with_neighbours(F.col("cs"))).alias("i", "c"))
+    left, right = F.coalesce("c.left", F.lit("")), F.coalesce("c.right", F.lit(""))
+    cut = F.substr(left, F.greatest(F.length(left) - reach, F.lit(0)) + 1)
+    return rows.select("k", "h", "i", "n", F.concat(cut, "c.c", F.substr(right, F.lit(1), F.lit(reach))).alias("c"))
+
+
+def _with_neighbours(cs: Column) -> Column:
+    beside = F.arrays_zip(F.concat(F.array(F.lit("")), F.slice(cs, 1, F.size(cs) - 1)).alias("left"), cs.alias("c"), F.slice(cs, 2, F.size(cs)).alias("right"))
+    return F.transform(beside, lambda x: F.struct(x["left"].alias("left"), x["c"].alias("c"), x["right"].alias("right")))
 
 
 def _window(text: str, i: int, n: int, size: int, reach: int) -> tuple[str, int, int, bool]:
