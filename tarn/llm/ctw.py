@@ -15,8 +15,9 @@ Word counts are never broadcast as a whole: each task looks up the ``HOT`` most
 frequent words itself and sends the others to the buckets of the counts.
 
 What tasks receive has a bound: HOT words, and a tree of at most ``GRAMS``
-different strings of DEPTH + 1 bytes (counted before they are collected). Beyond
-it the same tree, of the same depth, is dealt into subtrees by the last ``TOP``
+different strings of DEPTH + 1 bytes (counted first). One task weights that tree
+and writes it to the shared folder, from where workers map it: the driver holds
+neither counts nor tree. Beyond the bound the same tree, of the same depth, is dealt into subtrees by the last ``TOP``
 bytes of the context: each is weighted in a task of its own, which passes up what
 its nodes give the shorter contexts (at most 256 * 255 sums), and those few levels
 are broadcast. Every slice of text asks the subtrees for its different strings.
@@ -29,6 +30,9 @@ are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm import scan
+from tarn.llm import scan, warc
 
 DEPTH, HOT, GRAMS = 5, 1 << 18, 4_000_000
 #: Levels above the subtrees, and strings of a subtree bucket on average, where the tree is dealt.
@@ -68,7 +72,10 @@ def summed(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 class Lookup:
     """Codes in a table with open addressing, to find many at once."""
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, slots: np.ndarray | None = None):
+        if slots is not None:
+            self.codes, self.slots, self.shift = codes, slots, 65 - len(slots).bit_length()
+            return
         self.shift = 64 - max(4, int(2 * len(codes) + 1).bit_length())
         self.slots = np.full(1 << (64 - self.shift), -1, np.int32)
         self.codes = codes
@@ -199,6 +206,43 @@ class Tree:
                 begun[j] |= there
                 low, high = np.where(bits[j], middle, low), np.where(bits[j], high, middle)
 
+    def save(self, path: str) -> None:
+        """Writes a whole tree as one file: a line that says where its arrays are, and the arrays."""
+        arrays = {"logs": self.logs, "slots": self.table.slots} | {f"codes{d}": c for d, (c, _) in self.levels.items()} | {f"upto{d}": n for d, (_, n) in self.levels.items()} | {f"stops{d}": x for d, x in self.stops.items()}
+        places, at = {}, 0
+        for name, x in arrays.items():
+            places[name] = (x.dtype.str, x.shape, at)
+            at += -(-x.nbytes // 64) * 64
+        head = json.dumps({"depth": self.depth, "arrays": places}).encode()
+        head += b" " * (63 - len(head) % 64) + b"\n"
+        with warc.opened(path, "wb") as f:
+            f.write(head)
+            for x in arrays.values():
+                f.write(np.ascontiguousarray(x).tobytes())
+                f.write(bytes(-x.nbytes % 64))
+
+    @classmethod
+    def load(cls, path: str) -> Tree:
+        """The tree in a file; a local file is mapped, so that workers of one machine share it."""
+        local = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+        if "://" not in local and os.path.exists(local):
+            data = np.memmap(local, np.uint8, "r")
+        else:
+            with warc.opened(path, "rb") as f:
+                data = np.frombuffer(f.read(), np.uint8)
+        head = 64
+        while data[head - 1] != 10:
+            head += 64
+        said = json.loads(data[:head].tobytes())
+        got = {name: np.frombuffer(data[head + at : head + at + int(np.prod(shape)) * np.dtype(kind).itemsize], kind).reshape(shape) for name, (kind, shape, at) in said["arrays"].items()}
+        tree = cls.__new__(cls)
+        tree.depth, tree.least = said["depth"], 0
+        tree.levels = {d: (got[f"codes{d}"], got[f"upto{d}"]) for d in range(tree.depth + 1)}
+        tree.stops = {d: got[f"stops{d}"] for d in range(tree.depth + 1) if f"stops{d}" in got}
+        tree.codes, tree.logs = tree.levels[tree.depth][0], got["logs"]
+        tree.table = Lookup(tree.codes, got["slots"])
+        return tree
+
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log10 probability of each text."""
         codes = grams(data, offsets, self.depth)
@@ -212,6 +256,35 @@ class Tree:
         return total[offsets[1:]] - total[offsets[:-1]]
 
 
+_LOADED: dict[str, Tree] = {}
+
+
+def loaded(path: str) -> Tree:
+    """The tree in a file, opened once in each worker."""
+    if path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[path] = Tree.load(path)
+    return _LOADED[path]
+
+
+def written(counts: DataFrame, depth: int) -> str:
+    """The tree of all counted grams, weighted by one task and written to the shared folder: its path."""
+    scan.shared_dir(counts)
+    folder = f"{counts.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/tree-{uuid.uuid4().hex}"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(np.frombuffer(a, _U), np.frombuffer(b, np.int64)) for x in batches for a, b in zip(x.column("codes").to_pylist(), x.column("ns").to_pylist(), strict=True)]
+        codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
+        del got
+        path = f"{folder}/{uuid.uuid4().hex}"  # an attempt's own
+        Tree(codes, n, depth).save(path)
+        del codes, n
+        scan.trimmed()
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    return scan.cut(counts.where("kind = 1").select("codes", "ns").repartition(1).mapInArrow(build, "path string")).first()["path"]
+
+
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = scan.LOWER[data]
     starts, ends, first = scan.spans(data, offsets, scan.NON_SPACE)
@@ -381,14 +454,9 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     tokens, different = (size[0]["total"], size[0]["entries"]) if 0 in size else (0, 0)
     whole = depth < TOP or 1 not in size or size[1]["entries"] <= GRAMS
     if whole:
-        got = [(np.frombuffer(r["codes"], _U), np.frombuffer(r["ns"], np.int64)) for r in counts.where("kind = 1").select("codes", "ns").collect()]
-        codes, n = summed(*map(np.concatenate, zip(*got, strict=True))) if got else (np.zeros(0, _U), np.zeros(0, np.int64))
-        del got
-        tree = spark.sparkContext.broadcast(Tree(codes, n, depth))
-        del codes, n
+        path = written(counts, depth)
     else:
         rows = dealt(rows, counts, depth, size[1]["entries"])
-    scan.trimmed()
     got = [np.frombuffer(r["hot"], _U).reshape(2, -1) for r in counts.where("kind = 0").select("hot").collect()]
     hot, often = np.concatenate(got, 1) if got else np.zeros((2, 0), _U)
     order = np.argsort(hot)
@@ -399,7 +467,7 @@ def scored(docs: DataFrame, held: Column, key: str = "doc_id", text: str = "text
     names = ["p", "tag", "a", "b", "c"]
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (known, logs) = tree.value if whole else None, common.value
+        model, (known, logs) = loaded(path) if whole else None, common.value
         parts: list[tuple[np.ndarray, ...]] = []
         held: list[np.ndarray] = []
         count = 0
