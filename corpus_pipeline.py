@@ -36,8 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: of each component the document with the smallest id stays (one of equal rows). Null or
-    repeated ids with different texts are documents of their own."""
+    """SimHash near-dedup over five words: of each component of texts alike by 0.8 or more (as wide fingerprints tell) the
+    document with the smallest id stays (one of equal rows). Null or repeated ids with different texts are documents
+    of their own; all empty texts are alike."""
     kept = simhash.keepers(docs)
     names = [f"_{n}" for n in simhash.identity()]
     rows = docs.select("*", *[c.alias(f"_{n}") for n, c in simhash.identity().items()])
