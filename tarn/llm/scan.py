@@ -7,9 +7,11 @@ is bounded by the slice (``SLICE`` bytes of text, or one longer text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import atexit
 import ctypes
+import shutil
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -222,10 +224,18 @@ def partitions(df: DataFrame, least: int = 1) -> int:
 
 
 def shared_dir(df: DataFrame) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where it is unset (tests) to a folder of our own."""
+    """Checkpoints go to spark.checkpoint.dir. Where it is unset, a local session (tests) gets a folder of its own, removed
+    at its end; a cluster session is refused, as its machines share no other folder that is known here."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/tarn-checkpoints"))
+    if not sc._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tarn-checkpoints-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
