@@ -87,11 +87,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the shared folder and read again."""
+    """All stages over documents; what each returns is written to the shared folder and read again as the next one's
+    input, which is removed once the next one is written. What the last one wrote stays."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scan.shared_dir(rows)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, rows, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        rows = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        stage(spark, rows, sf_dir).write.parquet(path)
+        rows = spark.read.parquet(path)
+        if before is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        before = path
     return rows
