@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Words left out of keyword statistics.
-KEYWORD_STOPS = "the and for are but not you all can had her was one our out has have been from with they this that will would there their what".split()
+KEYWORD_STOPS = "the and for with that this from are was were has have had not but they you all can her his she him its who how what when where which".split()
 
 #: A column is categorical if its share of different values is below the first and their number at most the second.
 CATEGORICAL_RATIO, CATEGORICAL_MOST = 0.2, 50
@@ -127,12 +127,14 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def keywords(rows: DataFrame, by: list[str], value: str, k: int = 5) -> DataFrame:
-    """The k words of the highest sum of tf (ln(N / (df + 1)) + 1) over a group's N values."""
-    v = rows.where(F.col(value).isNotNull()).withColumn("_id", F.monotonically_increasing_id())
-    n = v.groupBy(*by).agg(F.count("*").alias("N"))
+    """The k words of the highest sum of tf (ln(N / (df + 1)) + 1) over a group's N values. Each value sends one row
+    without a word, whose count is N, so that the texts are read once."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(value)), F.lit("[a-zA-Z]{3,}"), F.lit(0)), lambda w: ~w.isin(KEYWORD_STOPS))
-    terms = v.select(*by, "_id", F.explode(words).alias("word")).groupBy(*by, "word").agg(F.count("*").alias("tf"), F.count_distinct("_id").alias("df"))
-    scored = terms.join(n, by).withColumn("score", F.col("tf") * (F.log(F.col("N") / (F.col("df") + 1)) + 1))
+    marked = rows.where(F.col(value).isNotNull()).select(*by, value, F.monotonically_increasing_id().alias("_id"))
+    each = marked.select(*by, "_id", F.explode(F.concat(F.array(F.lit("")), words)).alias("word"))
+    terms = each.groupBy(*by, "_id", "word").agg(F.count("*").alias("n")).groupBy(*by, "word").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
+    n = F.max(F.when(F.col("word") == "", F.col("df"))).over(Window.partitionBy(*by))
+    scored = terms.withColumn("N", n).where("word <> ''").withColumn("score", F.col("tf") * (F.log(F.col("N") / (F.col("df") + 1)) + 1))
     order = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), "word")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "word", "score", "rank")
 
@@ -152,14 +154,15 @@ def uri_stats(rows: DataFrame, by: list[str], value: str, k: int = 10) -> DataFr
 
 
 def percentage_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """count, extremes, mean, and how many lie outside 0 to 100."""
+    """count, min, max, mean, median."""
     x = F.col(value)
-    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.count_if((x < 0) | (x > 100)).alias("out_of_range"))
+    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("mean"), F.median(x).alias("median"))
 
 
 def currency_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """count, min, max, sum, mean, median, std (null for one value)."""
     x = F.col(value)
-    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.median(x).alias("median"))
+    return rows.groupBy(*by).agg(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.stddev_samp(x).alias("std"))
 
 
 def counts(cells: DataFrame, by: list[str], value: str) -> DataFrame:

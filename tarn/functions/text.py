@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,36 +66,56 @@ def has_non_ascii(text: Column) -> Column:
     return text.rlike(r"[^\x00-\x7F]")
 
 
-# Scripts by their first letter in the text, with the language that they hint at.
+# Hints by the range of a character.
 SCRIPTS = [
-    ("zh", r"\x{4E00}-\x{9FFF}"),
-    ("ja", r"\x{3040}-\x{30FF}"),
-    ("ko", r"\x{AC00}-\x{D7AF}"),
+    ("th", r"\x{0E00}-\x{0E7F}"),
     ("ru", r"\x{0400}-\x{04FF}"),
-    ("ar", r"\x{0600}-\x{06FF}"),
-    ("latin", r"\x{00C0}-\x{024F}"),
+    ("zh", r"\x{4E00}-\x{9FFF}"),
+    ("extended_latin", r"\x{0100}-\x{017F}"),
 ]
 
 
 def language_hint(text: Column) -> Column:
-    """The script of the first character that belongs to a listed one; "en" if none does."""
+    """The hint of the first character in a listed range; "non_ascii" if there are only others beyond ASCII, "en" if there
+    are none (or no text)."""
     first = F.regexp_extract(text, "([" + "".join(r for _, r in SCRIPTS) + "])", 1)
-    out = F.lit("en")
+    out = F.when(has_non_ascii(text), F.lit("non_ascii")).otherwise(F.lit("en"))
     for name, r in reversed(SCRIPTS):
         out = F.when(first.rlike(f"[{r}]"), F.lit(name)).otherwise(out)
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A double with one or two digits behind the point, rounded by its binary value, exact halves to the even digit (as C
+    and Python print it). Twice the scaled value is compared with an odd number: the products with powers of two are
+    exact, and the errors of their sums are kept."""
+    scale = 10**digits
+
+    def twice(a: Column) -> Column:
+        if digits == 1:
+            return F.struct((16 * a + 4 * a).alias("s"), (4 * a - ((16 * a + 4 * a) - 16 * a)).alias("e"))
+        big = 128 * a + 64 * a
+        return F.struct((big + 8 * a).alias("s"), ((64 * a - (big - 128 * a)) + (8 * a - ((big + 8 * a) - big))).alias("e"))
+
+    def rounded(a: Column) -> Column:
+        k = F.floor(a * scale).cast("long")
+        return let(F.struct(k.alias("k"), twice(a).alias("t")), lambda v: let(F.struct(v["k"].alias("k"), ((v["t"]["s"] - (2 * v["k"] + 1)) + v["t"]["e"]).alias("d")), lambda w: F.when((w["d"] > 0) | (w["d"] == 0) & (w["k"] % 2 == 1), w["k"] + 1).otherwise(w["k"])))
+
+    text = lambda k: F.concat(F.floor(k / scale).cast("string"), F.lit("."), F.lpad((k % scale).cast("string"), digits, "0"))
+    return let(x.cast("double"), lambda v: F.concat(F.when(v < 0, "-").otherwise(""), let(let(F.abs(v), rounded), text)))
+
+
 def short_number(x: Column) -> Column:
-    """1234567 as 1.2M, 1500 as 1.5K, 2.5 as 2.50, 3 as 3."""
+    """1234567 as 1.2M, 1500 as 1.5K, 2.5 as 2.50, 3 as 3, null as a question mark."""
     a = F.abs(x)
-    return (
-        F.when(a >= 1e9, F.format_string("%.1fB", x / 1e9))
-        .when(a >= 1e6, F.format_string("%.1fM", x / 1e6))
-        .when(a >= 1e3, F.format_string("%.1fK", x / 1e3))
-        .when(x == F.floor(x), F.format_string("%d", F.floor(x).cast("long")))
-        .otherwise(F.format_string("%.2f", x.cast("double")))
-    )
+    scale = F.when(a >= 1e9, F.lit(1e9)).when(a >= 1e6, F.lit(1e6)).otherwise(F.lit(1e3))
+    mark = F.when(a >= 1e9, "B").when(a >= 1e6, "M").otherwise("K")
+    return F.when(x.isNull(), "?").when(a >= 1e3, F.concat(fixed(x / scale, 1), mark)).when(x == F.floor(x), F.floor(x).cast("long").cast("string")).otherwise(fixed(x, 2))
 
 
 def truncated(text: Column, limit: int, mark: str = "...") -> Column:

@@ -42,9 +42,13 @@ def table(spark: SparkSession, contracts: list[Contract]) -> DataFrame:
 
 
 def outcome(value: Column, c: Contract) -> Column:
-    """matched, ok and the result as a string, for one contract."""
+    """matched, ok and the result as a string, for one contract. A pattern that isn't RE2's matches nothing; an expression
+    outside the vocabulary fails on every value."""
     hit = regex.matches(value, c.pattern)
-    result = expressions.compile_expression(c.expression, value)
+    try:
+        result = expressions.compile_expression(c.expression, value)
+    except expressions.Refused:
+        result = F.lit(None).cast("string")
     return F.struct(hit.alias("matched"), (hit & result.isNotNull()).alias("ok"), F.when(hit, result.cast("string")).alias("result"))
 
 
@@ -138,21 +142,60 @@ def fallback(primitive_class: str, data_property: str, target: str) -> Contract:
     return Contract(primitive_class, data_property, pattern, expression, target)
 
 
-# Template of a readout by the range of its property.
-TEMPLATES = {
-    "integer": "{name}: range {min} to {max}, mean {mean}",
-    "decimal": "{name}: range {min} to {max}, mean {mean}",
-    "dateTime": "{name}: from {min} to {max} ({range_days} days)",
-    "string": "{name}: {distinct} different values of {count}",
+# Template of a readout and its statistics by the range of the property; other ranges have the last.
+TEMPLATES = [
+    (("xsd:integer", "xsd:decimal", "xsd:nonNegativeInteger"), "{name}: {min}-{max} (avg {mean})", ["min", "max", "mean"]),
+    (("xsd:dateTime", "xsd:dateTimeStamp"), "{name}: {min} to {max}", ["min", "max"]),
+    (("xsd:anyURI",), "{name}: {distinct_count} unique URLs", ["distinct_count"]),
+    (("xsd:string",), "{name}: {distinct_count} unique values", ["distinct_count"]),
+    ((), "{name}: {count} values", ["count"]),
+]
+# How a readout shows a statistic.
+FORMATS = {
+    "value": ["min", "max", "percentile_25", "percentile_75", "mode"],
+    "two": ["mean", "median", "std"],
+    "number": ["sum", "count", "distinct_count", "max_length"],
+    "percent": ["null_ratio"],
+    "days": ["range_days"],
+    "one": ["avg_length"],
+    "words": ["word_count_avg"],
+    "first": ["top_values", "sample_values", "tfidf_keywords", "domain_distribution"],
 }
 
 
-def readout(template: str, values: dict[str, Column]) -> Column:
-    """A template with its statistics filled in; missing ones as N/A."""
+def template_of(range_type: str, name: str) -> tuple[str, list[str]]:
+    """The template of a property by its range, with its name in place, and the statistics that it needs."""
+    for ranges, template, needs in TEMPLATES:
+        if range_type in ranges or not ranges:
+            return template.replace("{name}", name), needs
+    raise AssertionError("the last template is for all ranges")
+
+
+def shown(statistic: str, c: Column, kind: str) -> Column:
+    """A statistic as a readout shows it; ``kind`` is the column's type (``double``, ``bigint``, ``string``, ``array<string>``)."""
+    how = next((h for h, names in FORMATS.items() if statistic in names), None)
+    whole = F.format_number(c.cast("long"), 0) if kind in ("double", "bigint", "int") else c.cast("string")
+    grouped = F.when(c == F.floor(c), whole).otherwise(F.format_number(c, 2)) if kind == "double" else whole
+    if how in ("value", "number"):
+        return grouped
+    if how == "days" and kind in ("double", "bigint", "int"):
+        return F.concat(whole, F.lit(" days"))
+    if how == "percent":
+        return F.concat(X.fixed(c * 100, 1), F.lit("%"))
+    if how in ("two", "one", "words") and kind == "double":
+        return F.concat(X.fixed(c, 2 if how == "two" else 1), F.lit(" words" if how == "words" else ""))
+    if how == "first" and kind.startswith("array"):
+        return F.when(F.size(c) == 0, "(none)").otherwise(F.array_join(F.slice(c, 1, 5), ", "))
+    return c.cast("string")
+
+
+def readout(template: str, values: dict[str, Column], kinds: dict[str, str] | None = None) -> Column:
+    """A template with its statistics filled in (by ``shown`` where their type is given); missing ones as N/A."""
     out = F.lit(template)
     for name, c in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(c.cast("string"), F.lit("N/A")))
-    return F.regexp_replace(out, r"\{[a-z_0-9]+\}", "N/A")
+        text = shown(name, c, kinds[name]) if kinds and name in kinds else c.cast("string")
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(text, F.lit("N/A")))
+    return F.regexp_replace(out, r"\{[A-Za-z_0-9]+\}", "N/A")
 
 
 def missing_statistics(template: str, known: list[str]) -> list[str]:

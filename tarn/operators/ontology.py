@@ -2,8 +2,10 @@
 
 Classes are (class, parent) rows, one per parent; a root has a null parent.
 The closure (anc, desc, dist) has the smallest distance over all paths and every
-class with itself at 0. Hierarchies are small (thousands of classes), tables and
-mappings are not: everything that touches those is a join or an aggregate.
+class with itself at 0. It is made by joining paths with paths until nothing is
+new, so a hierarchy of depth d takes log2(d) rounds and cycles end by themselves;
+functions that need it take it as ``closed`` if it is there already. Tables and
+mappings are joined and aggregated, never collected.
 """
 
 from __future__ import annotations
@@ -14,44 +16,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
+from tarn.sources import storage
 
-ROOT, ABOX_BOOST, MAX_DEPTH, LOCAL = "Column", 1.5, 64, 20_000
+ROOT, ABOX_BOOST = "Column", 1.5
+
+
+def strict_closure(classes: DataFrame) -> DataFrame:
+    """anc, desc, dist of every path of one step or more; a class on a cycle is its own ancestor."""
+    edges = classes.where("class is not null and parent is not null")
+    found = _kept(edges.select(X.strip_prefix(F.col("parent")).alias("anc"), X.strip_prefix(F.col("class")).alias("desc"), F.lit(1).alias("dist")).distinct())
+    size, same = found.agg(F.count("*"), F.sum("dist")).first(), False
+    while not same and size[0]:
+        up = found.select(F.col("anc").alias("top"), F.col("desc").alias("anc"), F.col("dist").alias("more"))
+        longer = found.join(up, "anc").select(F.col("top").alias("anc"), "desc", (F.col("dist") + F.col("more")).alias("dist"))
+        found = _kept(found.unionByName(longer).groupBy("anc", "desc").agg(F.min("dist").alias("dist")))
+        before, size = size, found.agg(F.count("*"), F.sum("dist")).first()
+        same = before == size  # pairs only come and distances only fall
+    return found
 
 
 def closure(classes: DataFrame) -> DataFrame:
-    """anc, desc, dist over all parents; cycles end at MAX_DEPTH. Up to LOCAL rows are walked on the driver (a recursive
-    plan costs a job a level); more by the recursive plan."""
-    edges = classes.select(X.strip_prefix(F.col("class")).alias("class"), X.strip_prefix(F.col("parent")).alias("parent"))
-    rows = edges.limit(LOCAL + 1).collect()
-    if len(rows) > LOCAL:
-        return recursive_closure(edges).cache()
-    up: dict[str, set[str]] = {}
-    for c, p in rows:
-        up.setdefault(c, set()).update([p] if p is not None else [])
-    out = []
-    for c in up:
-        seen, level, dist = {c: 0}, {c}, 0
-        while level and dist < MAX_DEPTH:
-            dist += 1
-            level = {p for x in level for p in up.get(x, ())} - seen.keys()
-            seen.update(dict.fromkeys(level, dist))
-        out += [(a, c, d) for a, d in seen.items()]
-    return classes.sparkSession.createDataFrame(out, "anc string, desc string, dist int")
-
-
-def recursive_closure(edges: DataFrame) -> DataFrame:
-    """The same for any number of classes."""
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE c(anc, desc, dist) AS (
-          SELECT DISTINCT class, class, 0 FROM {{edges}}
-          UNION ALL
-          SELECT e.parent, c.desc, c.dist + 1 FROM c JOIN {{edges}} e ON e.class = c.anc WHERE e.parent IS NOT NULL AND c.dist < {MAX_DEPTH}
-        )
-        SELECT anc, desc, min(dist) AS dist FROM c GROUP BY anc, desc
-        """,
-        edges=edges,
-    )
+    """anc, desc, dist over all parents, every class with itself at 0."""
+    own = classes.where("class is not null").select(X.strip_prefix(F.col("class")).alias("anc")).distinct()
+    own = own.select("anc", F.col("anc").alias("desc"), F.lit(0).alias("dist"))
+    return _kept(strict_closure(classes).where("anc <> desc").unionByName(own))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once: written to the session's checkpoint folder."""
+    return storage.checkpointed(df)
 
 
 def depths(closed: DataFrame) -> DataFrame:
@@ -67,26 +60,15 @@ def paths(closed: DataFrame) -> DataFrame:
 
 def cycles(classes: DataFrame) -> DataFrame:
     """Classes that are their own ancestor."""
-    spark = classes.sparkSession
-    return spark.sql(
-        f"""
-        WITH RECURSIVE c(start, at, n) AS (
-          SELECT class, parent, 1 FROM {{e}} WHERE parent IS NOT NULL
-          UNION ALL
-          SELECT c.start, e.parent, c.n + 1 FROM c JOIN {{e}} e ON e.class = c.at WHERE e.parent IS NOT NULL AND c.at <> c.start AND c.n < {MAX_DEPTH}
-        )
-        SELECT DISTINCT start AS class FROM c WHERE at = start
-        """,
-        e=classes.select("class", "parent"),
-    )
-
-
-def nearest_properties(classes: DataFrame, properties: DataFrame) -> DataFrame:
+    return strict_closure(classes).where("anc = desc").select(F.col("desc").alias("class"))
+
+
+def nearest_properties(classes: DataFrame, properties: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """class, property: of the properties (property, domain, parent) whose domain is the class or an ancestor those at the
     smallest distance, without ancestors of other kept ones."""
-    reach = closure(classes).join(properties.select("property", "domain"), F.col("anc") == F.col("domain"))
+    reach = (closed or closure(classes)).join(properties.select("property", "domain"), F.col("anc") == F.col("domain"))
     kept = reach.withColumn("r", F.rank().over(Window.partitionBy("desc").orderBy("dist"))).where("r = 1").select(F.col("desc").alias("class"), "property").distinct()
-    above = closure(properties.select(F.col("property").alias("class"), F.col("parent"))).where("dist > 0")
+    above = strict_closure(properties.select(F.col("property").alias("class"), F.col("parent"))).where("anc <> desc")
     covered = kept.join(above, kept["property"] == above["desc"]).select("class", F.col("anc").alias("property")).distinct()
     return kept.join(covered, ["class", "property"], "left_anti")
 
@@ -96,24 +78,22 @@ def class_ranges(classes: DataFrame, properties: DataFrame) -> DataFrame:
     return properties.groupBy(F.col("domain").alias("class")).agg(F.min_by("range", "property").alias("range")).join(classes.select("class").distinct(), "class", "left_semi")
 
 
-def class_frequencies(classes: DataFrame, mappings: DataFrame) -> DataFrame:
+def class_frequencies(classes: DataFrame, mappings: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """class, df (tables with the class or a descendant), n (tables), idf = ln((n + 1) / (df + 1))."""
     pairs = mappings.select("table_id", X.strip_prefix(F.col("class")).alias("desc")).distinct()
     n = pairs.agg(F.count_distinct("table_id").alias("n"))
-    closed = closure(classes)
+    closed = closed or closure(classes)
     df = pairs.join(closed, "desc").groupBy(F.col("anc").alias("class")).agg(F.count_distinct("table_id").alias("df"))
     every = classes.select(X.strip_prefix(F.col("class")).alias("class")).distinct()
     return every.join(df, "class", "left").fillna(0, ["df"]).join(F.broadcast(n)).select("class", "df", "n", F.log((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
-def _shared(classes: DataFrame, mappings: DataFrame, constraints: DataFrame) -> DataFrame:
+def _shared(closed: DataFrame, idf: DataFrame, mappings: DataFrame, constraints: DataFrame) -> DataFrame:
     """query_id, cid, value, table_id, class (ancestor that a constraint and a table share), idf, depth, need (idf of the
     required class). An equi-join of two closures: tables that share nothing don't occur."""
-    closed = closure(classes)
     of_table = mappings.select("table_id", X.strip_prefix(F.col("class")).alias("desc")).distinct().join(closed, "desc").select("table_id", F.col("anc").alias("class")).distinct()
     wanted = constraints.select("query_id", "cid", X.strip_prefix(F.col("class")).alias("desc"), "value")
     of_query = wanted.join(closed, "desc").select("query_id", "cid", "value", F.col("desc").alias("required"), F.col("anc").alias("class")).distinct()
-    idf = class_frequencies(classes, mappings).select("class", "idf")
     need = idf.select(F.col("class").alias("required"), F.col("idf").alias("need"))
     return of_query.join(of_table, "class").join(idf, "class").join(depths(closed), "class").join(need, "required", "left")
 
@@ -125,7 +105,8 @@ def _per_query(constraints: DataFrame) -> DataFrame:
 def score_plain(classes: DataFrame, mappings: DataFrame, constraints: DataFrame) -> DataFrame:
     """query_id, doc_id, score: of each constraint the idf of the deepest shared class (with a value: the largest idf of
     a shared class), averaged over all constraints; scores above 0."""
-    s = _shared(classes, mappings, constraints)
+    closed = closure(classes)
+    s = _shared(closed, class_frequencies(classes, mappings, closed).select("class", "idf"), mappings, constraints)
     deepest = F.max_by("idf", F.struct("depth", "idf"))
     one = s.groupBy("query_id", "cid", "table_id").agg(F.when(F.first("value").isNull(), deepest).otherwise(F.max("idf")).alias("s"))
     total = one.groupBy("query_id", "table_id").agg(F.sum("s").alias("s")).join(_per_query(constraints), "query_id")
@@ -135,10 +116,12 @@ def score_plain(classes: DataFrame, mappings: DataFrame, constraints: DataFrame)
 def score_weighted(classes: DataFrame, mappings: DataFrame, constraints: DataFrame) -> DataFrame:
     """query_id, doc_id, score: of each constraint the share of the required class's idf that the deepest shared class
     has (0 to 1), weighted by that idf, 1.5 times with a value; scores above 0."""
-    s = _shared(classes, mappings, constraints)
+    closed = closure(classes)
+    idf = _kept(class_frequencies(classes, mappings, closed).select("class", "idf"))
+    s = _shared(closed, idf, mappings, constraints)
     one = s.groupBy("query_id", "cid", "table_id").agg(F.max_by("idf", F.struct("depth", "idf")).alias("idf"), F.first("need").alias("need"))
     ratio = F.when(F.col("need") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("idf") / F.col("need")))).otherwise(0.0)
-    names = class_frequencies(classes, mappings).select(F.col("class").alias("required"), "idf")
+    names = idf.select(F.col("class").alias("required"), "idf")
     weights = constraints.withColumn("required", X.strip_prefix(F.col("class"))).join(names, "required", "left")
     weights = weights.select("query_id", "cid", (F.coalesce("idf", F.lit(0.0)) * F.when(F.col("value").isNotNull(), ABOX_BOOST).otherwise(1.0)).alias("w"))
     total = weights.groupBy("query_id").agg(F.sum("w").alias("total"))
@@ -272,16 +255,21 @@ def edited(parents: dict[str, str | None], domains: dict[str, list[str]], edits:
     return parents, domains
 
 
-def tree_text(classes: DataFrame) -> DataFrame:
-    """line, n: the hierarchy as indented lines, children sorted by name."""
-    return classes.sparkSession.sql(
-        f"""
-        WITH RECURSIVE t(class, sort, depth) AS (
-          SELECT class, cast(class AS STRING), 0 FROM {{e}} WHERE parent IS NULL
-          UNION ALL
-          SELECT e.class, concat(t.sort, '\\u0001', e.class), t.depth + 1 FROM t JOIN {{e}} e ON e.parent = t.class WHERE t.depth < {MAX_DEPTH}
-        )
-        SELECT row_number() OVER (ORDER BY sort) AS n, concat(repeat('  ', depth), class) AS line FROM t
-        """,
-        e=classes.select("class", "parent"),
-    )
+def tree_text(classes: DataFrame, most: int | None = None) -> DataFrame:
+    """line, n: the hierarchy as indented lines, children sorted by name, from the classes without a parent down. A class
+    that is met again below itself is marked and not followed. With ``most`` only so many lines, and one that says how
+    many are left out."""
+    edges = _kept(classes.select("class", "parent").distinct())
+    level = _kept(edges.where("parent is null").select("class", F.array("class").alias("path"), F.lit(False).alias("again")))
+    every = level
+    while level.take(1):
+        down = level.where("not again").join(edges.select(F.col("class").alias("child"), F.col("parent").alias("class")), "class")
+        level = _kept(down.select(F.col("child").alias("class"), F.concat("path", F.array("child")).alias("path"), F.array_contains("path", F.col("child")).alias("again")))
+        every = every.unionByName(level)
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), F.col("class"), F.when(F.col("again"), " (cycle)").otherwise(""))
+    out = every.select(F.row_number().over(Window.orderBy("path")).alias("n"), line.alias("line"))
+    if most is None:
+        return out
+    total = every.count()
+    rest = edges.sparkSession.createDataFrame([(most + 1, f"... ({total - most} more)")] if total > most else [], "n int, line string")
+    return out.where(F.col("n") <= most).unionByName(rest)

@@ -10,13 +10,16 @@ blocked matrix products; only each block's best k leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import stems
 from tarn.functions import text as X
+from tarn.sources import storage
 
 K1, B, RRF_K, OVERFETCH = 1.5, 0.75, 60, 2
 #: Query vectors held by a task at once.
@@ -64,6 +67,39 @@ def weights_for(docs: DataFrame, key: str, text: str, terms: DataFrame, stop: li
     return scaled.select("doc_id", "term", "tf", bm25_idf(F.col("n"), F.col("df")).alias("idf"), tf.alias("tf_part")).withColumn("weight", F.col("idf") * F.col("tf_part"))
 
 
+def build_index(docs: DataFrame, key: str, text: str, folder: str, stop: list[str] | None = None, stemmer: str | None = None) -> None:
+    """Writes the index of a corpus: postings (term, doc_id, tf, dl, idf, weight) sorted by term, so that a search reads the
+    row groups of its terms, and one row of statistics. The texts are read once."""
+    words = docs.select(F.col(key).alias("doc_id"), X.tokens(F.col(text), stop).alias("words"))
+    rows = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
+    if stemmer:
+        rows = stems.stemmed(rows, "term", stemmer)
+    posts = storage.checkpointed(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    posts = posts.where("term <> ''")
+    norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    idf = bm25_idf(F.col("n"), F.col("df"))
+    weighted = posts.join(term_stats(posts), "term").join(F.broadcast(stats)).select("term", "doc_id", "tf", "dl", idf.alias("idf"), (idf * F.col("tf") / (F.col("tf") + norm)).alias("weight"))  # stats is one row
+    weighted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    stats.withColumn("stemmer", F.lit(stemmer)).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def index_scores(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, query_text: str, stop: list[str] | None = None) -> DataFrame:
+    """query_id, doc_id, score of every pair that shares a term, from a stored index alone."""
+    terms = query_terms(queries, query_key, query_text, stop)
+    stemmer = spark.read.parquet(f"{folder}/stats").first()["stemmer"]
+    if stemmer:
+        terms = stems.stemmed(terms, "term", stemmer).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
+    posts = spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "weight")
+    return posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+
+
+def index_search(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, query_text: str, k: int, keep_all: bool = False, stop: list[str] | None = None) -> DataFrame:
+    """The best k of each query from a stored index; with ``keep_all`` also those of score 0."""
+    scores = index_scores(spark, folder, queries, query_key, query_text, stop)
+    return ranked(scores if keep_all else scores.where("score > 0"), k)
+
+
 def query_terms(queries: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:
     """query_id, term, qtf."""
     return queries.select(F.col(key).alias("query_id"), F.explode(X.tokens(F.col(text), stop)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
@@ -128,8 +164,8 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 
 def vector_search(items: DataFrame, queries: DataFrame, item_key: str, item_vec: str, query_key: str, query_vec: str, k: int, digits: int = 9) -> DataFrame:
-    """query_id, doc_id, score, rank: exact inner products, in blocks of queries. The queries go through the driver a
-    block at a time; each task returns its best k of each query."""
+    """query_id, doc_id, score, rank: exact inner products, in blocks of queries. The driver holds one block at a time;
+    each task returns its best k of each query, and with several blocks these are written before the next begins."""
     wanted = queries.select(F.col(query_key).alias("q"), F.col(query_vec).alias("v")).where("v is not null")
     rows = items.select(F.col(item_key).alias("i"), F.col(item_vec).alias("v")).where("v is not null")
     kinds = wanted.schema["q"].dataType.simpleString(), rows.schema["i"].dataType.simpleString()
@@ -148,18 +184,25 @@ def vector_search(items: DataFrame, queries: DataFrame, item_key: str, item_vec:
 
         return run
 
-    out, block = None, []
-    for row in [*wanted.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == QUERY_BLOCK):
-            part = rows.mapInArrow(search([r["q"] for r in block], np.array([list(r["v"]) for r in block], np.float64)), schema)
-            out, block = part if out is None else out.unionByName(part), []
+    out, left = None, wanted.toLocalIterator()
+    block = list(islice(left, QUERY_BLOCK))
+    while block:
+        part = rows.mapInArrow(search([r["q"] for r in block], np.array([list(r["v"]) for r in block], np.float64)), schema)
+        block = list(islice(left, QUERY_BLOCK)) if len(block) == QUERY_BLOCK else []
+        part = storage.checkpointed(ranked(part, k, None).drop("rank")) if block or out is not None else part
+        out = part if out is None else out.unionByName(part)
     if out is None:
         out = items.sparkSession.createDataFrame([], schema)
     return ranked(out, k, None)
 
 
+def pair_scores(pairs: DataFrame, items: DataFrame, queries: DataFrame, item_key: str, item_vec: str, query_key: str, query_vec: str, digits: int = 9) -> DataFrame:
+    """query_id, doc_id, score (inner product) of stated pairs, by joins."""
+    q = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_q"))
+    d = items.select(F.col(item_key).alias("doc_id"), F.col(item_vec).alias("_d"))
+    return pairs.select("query_id", "doc_id").distinct().join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", F.round(dot(F.col("_q"), F.col("_d")), digits).alias("score"))
+
+
 def cosine_search(items: DataFrame, queries: DataFrame, overrides: DataFrame, item_key: str, item_vec: str, query_key: str, query_vec: str, k: int) -> DataFrame:
     """Cosine search where a document's vector may be replaced (overrides: item_key, vector)."""
     own = items.select(F.col(item_key).alias("i"), F.col(item_vec).alias("v")).join(overrides.select(F.col(item_key).alias("i"), F.col(item_vec).alias("o")), "i", "left")

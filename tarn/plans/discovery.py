@@ -3,6 +3,8 @@ all tables or all queries; steps that need a model take its results as relations
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,12 +166,30 @@ def confident(hits: DataFrame, types: DataFrame) -> DataFrame:
     return hits.join(types.select("doc_id", "fallback_only"), "doc_id", "left").withColumn("confidence", F.when(F.col("fallback_only"), VAGUE).otherwise(1.0))
 
 
-def alpha_fusion(text: DataFrame, vector: DataFrame, k: int, alpha: float = 0.5) -> DataFrame:
-    """alpha minmax(text) + (1 - alpha) minmax(vector) over all scored pairs of both."""
-    fused = R.score_fusion(vector, text, vector, text, (1 - alpha, alpha), (True, True))
+def alpha_fusion(text: DataFrame, vector: DataFrame, complete: Callable[[DataFrame], DataFrame], k: int, alpha: float = 0.5, depth: int = 20) -> DataFrame:
+    """alpha minmax(text) + (1 - alpha) minmax(vector) over the best ``depth`` of both lists; ``complete`` gives the vector
+    scores of stated pairs, for those that only the text found."""
+    a, b = R.ranked(vector, depth), R.ranked(text, depth)
+    missing = b.select("query_id", "doc_id").join(a.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    every = a.select("query_id", "doc_id", "score").unionByName(complete(missing))
+    fused = R.score_fusion(a, b, every, text, (1 - alpha, alpha), (True, True))
     return R.ranked(fused.select("query_id", "doc_id", "score"), k)
 
 
+def contained(docs: DataFrame, key: str, text: str, passages: DataFrame, passage_key: str, passage_text: str) -> DataFrame:
+    """query_id, doc_id: documents that hold a passage verbatim. The longest word inside a passage (between white space) is
+    a word of every such document: documents join on it, and what joins is verified. Passages without such a word, of
+    one or two words, are held against all documents."""
+    inner = F.slice(F.split(F.col(passage_text), r"\s+"), 2, F.greatest(F.size(F.split(F.col(passage_text), r"\s+")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    p = passages.where(F.col(passage_text).isNotNull()).select(F.col(passage_key).alias("query_id"), F.col(passage_text).alias("_p"), longest["w"].alias("_w"))
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_t"))
+    found = d.select("doc_id", F.explode(F.array_distinct(F.split("_t", r"\s+"))).alias("_w")).join(p.where("_w <> ''"), "_w").select("query_id", "doc_id", "_p")
+    sure = found.join(d, "doc_id").where(F.contains("_t", "_p")).select("query_id", "doc_id")
+    brief = d.join(p.where("_w is null or _w = ''"), F.contains("_t", "_p")).select("query_id", "doc_id")
+    return sure.unionByName(brief).distinct()
+
+
 def answered(queries: DataFrame, ids: Column) -> DataFrame:
     """One row a (query, answer)."""
     return queries.select("query_id", F.explode(ids).alias("doc_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from tarn.operators import retrieval as R
 from tarn.operators import similarity as S
 from tarn.plans import discovery as D
 from tarn.plans import provider as V
-from tarn.sources import lake, sinks
+from tarn.sources import lake, sinks, storage
 from tarn.streaming import events as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,18 +61,26 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 TRUTH_SQL = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-def bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    return R.bm25_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text", k)
+_INDEXES: dict[tuple[str, str], str] = {}
+
 
+def bm25_index(spark: SparkSession, sf: str) -> str:
+    """The folder of the documents' text index, built once a session in the shared folder and searched from there."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        folder = f"{storage.shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+        R.build_index(table(spark, sf, "documents"), "doc_id", "text", folder)
+        _INDEXES[key] = folder
+    return _INDEXES[key]
 
-def bm25_all(spark: SparkSession, sf: str) -> DataFrame:
-    return R.bm25_scores(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+def bm25(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return R.index_search(spark, bm25_index(spark, sf), table(spark, sf, "benchmark"), "item_id", "text", k)
 
 
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     """The stated query set against all documents."""
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("b"))
-    return table(spark, sf, "documents").join(b, F.contains("text", "b")).select("query_id", "doc_id")
+    return D.contained(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
 @query(f"WITH {BM25_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 10")
@@ -79,11 +88,26 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bm25(spark, sf, 10))
 
 
-@query(f"""WITH {BM25_SQL} SELECT query_id, doc_id, term, tf, qtf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS score, regexp_matches(term, 'tion') AS is_class
-FROM q JOIN post USING (term) JOIN dfs USING (term), st WHERE query_id < 5""")
+@query(f"WITH {BM25_SQL} SELECT term, doc_id, tf, dl, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS weight FROM post JOIN dfs USING (term), st")
+def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """What the stored index has."""
+    folder = f"{storage.shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    R.build_index(table(spark, sf, "documents"), "doc_id", "text", folder)
+    return rounded(spark.read.parquet(f"{folder}/postings"))
+
+
+@query(f"WITH {BM25_SQL}, every AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM every WHERE query_id % 100 = 0")
+def bm25_keep_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scored document of the stated queries, whatever its score."""
+    q = table(spark, sf, "benchmark").where("item_id % 100 = 0")
+    return rounded(R.index_search(spark, bm25_index(spark, sf), q, "item_id", "text", None, keep_all=True))
+
+
+@query(f"""WITH {BM25_SQL} SELECT query_id, doc_id, term, tf, qtf, round(tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS tf_part, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS score, regexp_matches(term, 'tion') AS is_class
+FROM q JOIN post USING (term) JOIN dfs USING (term), st WHERE query_id % 100 = 0""")
 def bm25_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "benchmark").where("item_id < 5")  # five stated queries: a report on them
-    return rounded(R.bm25_terms(table(spark, sf, "documents"), b, "doc_id", "text", "item_id", "text", F.col("term").rlike("tion")).drop("tf_part"))
+    b = table(spark, sf, "benchmark").where("item_id % 100 = 0")
+    return rounded(R.bm25_terms(table(spark, sf, "documents"), b, "doc_id", "text", "item_id", "text", F.col("term").rlike("tion")))
 
 
 @query(f"""WITH {BM25_SQL}, t AS (SELECT query_id, doc_id, qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) AS s, regexp_matches(term, 'tion') AS c FROM q JOIN post USING (term) JOIN dfs USING (term), st),
@@ -190,12 +214,17 @@ f AS (SELECT query_id, doc_id, 0.5 * ({v}) + 0.5 * (CASE WHEN max(s2) OVER w = m
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
 
 
-def _fused(spark: SparkSession, sf: str, scale: tuple[bool, bool]) -> DataFrame:
+def complete(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+    """Vector scores of stated pairs."""
     e = table(spark, sf, "embeddings")
-    every = R.vector_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 1 << 30)
-    text = paired_text(spark, sf)
-    fused = R.score_fusion(R.ranked(every.drop("rank"), 20), R.ranked(text, 20), every, text, scale=scale)
-    return rounded(R.ranked(fused.select("query_id", "doc_id", "score"), 10))
+    return R.pair_scores(pairs, e, e, "vec_id", "embedding", "vec_id", "embedding")
+
+
+def _fused(spark: SparkSession, sf: str, scale: tuple[bool, bool]) -> DataFrame:
+    a, scores = vectors(spark, sf, 20), paired_text(spark, sf)
+    b = R.ranked(scores, 20)
+    every = complete(spark, sf, a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")))
+    return rounded(R.ranked(R.score_fusion(a, b, every, scores, scale=scale).select("query_id", "doc_id", "score"), 10))
 
 
 @query(_fusion_sql(False))
@@ -226,15 +255,14 @@ def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) / sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))"
 
 
-@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(({_COS} + 1) / 2, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 0 AND b.label = 0")
+@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(({_COS} + 1) / 2, 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def sim_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarities within one stated set, the items of label 0."""
-    return rounded(S.pair_similarities(table(spark, sf, "embeddings").where("label = 0"), "vec_id", "embedding", True))
+    return rounded(S.pair_similarities(table(spark, sf, "embeddings"), "vec_id", "embedding", True))
 
 
-@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(0.25 * {_COS} + 0.75 * (CASE WHEN b.vec_id = a.vec_id + 1 THEN 1.0 ELSE 0.0 END), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = 0 AND b.label = 0")
+@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round(0.25 * {_COS} + 0.75 * (CASE WHEN b.vec_id = a.vec_id + 1 THEN 1.0 ELSE 0.0 END), 6) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def sim_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    a = S.pair_similarities(table(spark, sf, "embeddings").where("label = 0"), "vec_id", "embedding")
+    a = S.pair_similarities(table(spark, sf, "embeddings"), "vec_id", "embedding")
     b = a.where("j = i + 1").select("i", "j", F.lit(1.0).alias("sim"))
     return rounded(S.hybrid_similarity(a, b, 0.25))
 
@@ -340,7 +368,7 @@ def prefix_suffix(spark: SparkSession, sf: str) -> DataFrame:
     return stats.common_affixes(table(spark, sf, "part").withColumnRenamed("p_brand", "g"), ["g"], "p_name")
 
 
-@query(f"""WITH v AS (SELECT lang, doc_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}'), lambda w: w NOT IN ({', '.join(f"'{w}'" for w in stats.KEYWORD_STOPS)})) AS ws FROM documents WHERE text IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM v GROUP BY 1),
+@query(f"""WITH v AS (SELECT lang, doc_id, list_filter(regexp_extract_all(lower(text), '[a-zA-Z]{{3,}}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'are', 'was', 'were', 'has', 'have', 'had', 'not', 'but', 'they', 'you', 'all', 'can', 'her', 'his', 'she', 'him', 'its', 'who', 'how', 'what', 'when', 'where', 'which')) AS ws FROM documents WHERE text IS NOT NULL), n AS (SELECT lang, count(*) AS n FROM v GROUP BY 1),
 t AS (SELECT lang, word, count(*) AS tf, count(DISTINCT doc_id) AS df FROM (SELECT lang, doc_id, unnest(ws) AS word FROM v) GROUP BY 1, 2), s AS (SELECT t.lang, word, tf * (ln(n / (df + 1)) + 1) AS score FROM t JOIN n ON n.lang = t.lang),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY round(score, 9) DESC, word) AS rank FROM s) SELECT lang, word, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
 def tfidf_keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,14 +385,12 @@ def uri_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.uri_stats(table(spark, sf, "pages").withColumn("g", F.lit(1)), ["g"], "url"))
 
 
-@query("SELECT l_linestatus, count(*) AS count, min(l_discount * 100) AS min, max(l_discount * 100) AS max, round(avg(l_discount * 100), 6) AS mean, count(*) FILTER (l_discount * 100 > 8) AS over FROM lineitem GROUP BY 1")
+@query("SELECT l_linestatus, count(*) AS count, min(l_discount * 100) AS min, max(l_discount * 100) AS max, round(avg(l_discount * 100), 6) AS mean, round(median(l_discount * 100), 6) AS median FROM lineitem GROUP BY 1")
 def percentage_stats(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "lineitem").withColumn("p", F.col("l_discount") * 100)
-    over = x.groupBy("l_linestatus").agg(F.count_if(F.col("p") > 8).alias("over"))
-    return rounded(stats.percentage_stats(x, ["l_linestatus"], "p").drop("out_of_range").join(over, "l_linestatus"))
+    return rounded(stats.percentage_stats(table(spark, sf, "lineitem").withColumn("p", F.col("l_discount") * 100), ["l_linestatus"], "p"))
 
 
-@query("SELECT s_nationkey::BIGINT AS s_nationkey, count(*) AS count, round(min(s_acctbal), 4) AS min, round(max(s_acctbal), 4) AS max, round(sum(s_acctbal), 4) AS sum, round(avg(s_acctbal), 4) AS mean, round(median(s_acctbal), 4) AS median FROM supplier GROUP BY 1")
+@query("SELECT s_nationkey::BIGINT AS s_nationkey, count(*) AS count, round(min(s_acctbal), 4) AS min, round(max(s_acctbal), 4) AS max, round(sum(s_acctbal), 4) AS sum, round(avg(s_acctbal), 4) AS mean, round(median(s_acctbal), 4) AS median, round(stddev_samp(s_acctbal), 4) AS std FROM supplier GROUP BY 1")
 def currency_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.currency_stats(table(spark, sf, "supplier"), ["s_nationkey"], "s_acctbal"), 4)
 
@@ -542,10 +568,10 @@ def class_match(spark: SparkSession, sf: str) -> DataFrame:
     return O.class_matches(classes(spark), pairs)
 
 
-@query("SELECT c_nationkey::BIGINT AS class, round(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) / 5.0, 6) AS coverage, count(*) FILTER (c_acctbal > 0) AS positives FROM (SELECT c_nationkey, c_mktsegment, max(c_acctbal) AS c_acctbal FROM customer GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT c_nationkey::BIGINT AS class, round(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) / 5.0, 6) AS coverage, count(*) FILTER (c_acctbal > 0) AS positives, coalesce(list(c_mktsegment ORDER BY c_mktsegment) FILTER (c_acctbal > 0), []) AS groups FROM (SELECT c_nationkey, c_mktsegment, max(c_acctbal) AS c_acctbal FROM customer GROUP BY 1, 2) GROUP BY 1")
 def vote_aggregate(spark: SparkSession, sf: str) -> DataFrame:
     votes = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("class"), F.col("c_mktsegment").alias("group")).agg(F.max("c_acctbal").alias("b")).withColumn("vote", (F.col("b") > 0).cast("int"))
-    return rounded(O.vote_summary(votes, 5).drop("groups"))
+    return rounded(O.vote_summary(votes, 5))
 
 
 @query("WITH c AS (SELECT year(o_orderdate)::BIGINT AS iteration, o_orderpriority AS class, avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END) AS coverage FROM orders GROUP BY 1, 2), m AS (SELECT iteration, avg(coverage) AS mean, count(*) FILTER (coverage > 0.5) / count(*) AS covered, count(*) AS classes FROM c GROUP BY 1) SELECT iteration, round(mean, 6) AS mean, round(covered, 6) AS covered, classes, round(abs(mean - lag(mean) OVER (ORDER BY iteration)), 6) AS delta FROM m")
@@ -565,9 +591,9 @@ def class_repair(spark: SparkSession, sf: str) -> DataFrame:
     return O.repaired(names, spark.createDataFrame([("Quantity",), ("Price",), ("ShipDate",)], "class string"))
 
 
-@query("SELECT source, lang, count(*) AS n FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY source, lang) GROUP BY 1, 2")
+@query("SELECT source, lang, doc_id, n_chars FROM documents WHERE doc_id IN (SELECT max(doc_id) FROM documents GROUP BY source, lang)")
 def latest_version(spark: SparkSession, sf: str) -> DataFrame:
-    return O.latest(table(spark, sf, "documents"), ["source", "lang"], "doc_id").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return O.latest(table(spark, sf, "documents"), ["source", "lang"], "doc_id").select("source", "lang", "doc_id", "n_chars")
 
 
 # -- relations: sinks, batches, reports ------------------------------------------------------------------------------
@@ -585,15 +611,15 @@ def next_batch(spark: SparkSession, sf: str) -> DataFrame:
     return lake.batch_of(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id", 50)
 
 
-@query("SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS batch FROM documents) GROUP BY 1")
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 128 AS batch FROM documents")
 def batch_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(lake.batches(table(spark, sf, "documents").select("doc_id"), "doc_id", 128).groupBy("batch").agg(F.count("*").alias("n")))
+    return rounded(lake.batches(table(spark, sf, "documents").select("doc_id"), "doc_id", 128))
 
 
-@query("SELECT lang, batch, count(*) AS n FROM (SELECT lang, ntile(3) OVER (PARTITION BY lang ORDER BY doc_id) AS batch FROM documents) GROUP BY 1, 2")
+@query("SELECT doc_id, lang, ntile(3) OVER (PARTITION BY lang ORDER BY doc_id) AS batch FROM documents")
 def even_batches(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").withColumn("batch", F.ntile(3).over(Window.partitionBy("lang").orderBy("doc_id")))
-    return rounded(d.groupBy("lang", "batch").agg(F.count("*").alias("n")))
+    return rounded(d.select("doc_id", "lang", "batch"))
 
 
 @query("SELECT source, count(*) AS count, round(avg(n_chars), 6) AS n_chars_mean, round(stddev_samp(n_chars), 6) AS n_chars_std, min(n_chars) AS n_chars_min, max(n_chars) AS n_chars_max FROM documents GROUP BY 1")
@@ -644,9 +670,15 @@ def class_marker_strip(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.strip_markers(marked).alias("stripped"), X.placeholder_markers(F.concat(F.lit("[A] "), F.col("lang"))).alias("placed"))
 
 
-@query(r"SELECT doc_id, regexp_matches(text, '[^\x00-\x7F]') AS non_ascii, CASE WHEN regexp_matches(text, '[\x{00C0}-\x{024F}]') THEN 'latin' ELSE 'en' END AS hint FROM documents")
+_HINT = r"regexp_extract(text, '[\x{0E00}-\x{0E7F}\x{0400}-\x{04FF}\x{4E00}-\x{9FFF}\x{0100}-\x{017F}]')"
+
+
+@query(rf"""WITH x AS (SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'aé' || text || 'ไทย Ж' WHEN 2 THEN 'ж中' || text WHEN 3 THEN '中' || text WHEN 4 THEN text || ' ő' WHEN 5 THEN '' WHEN 6 THEN 'ascii' ELSE text END AS text FROM documents), y AS (SELECT *, unicode({_HINT}) AS c FROM x)
+SELECT doc_id, regexp_matches(text, '[^\x00-\x7F]') AS non_ascii, CASE WHEN c BETWEEN 3584 AND 3711 THEN 'th' WHEN c BETWEEN 1024 AND 1279 THEN 'ru' WHEN c BETWEEN 19968 AND 40959 THEN 'zh' WHEN c BETWEEN 256 AND 383 THEN 'extended_latin' WHEN regexp_matches(text, '[^\x00-\x7F]') THEN 'non_ascii' ELSE 'en' END AS hint FROM y""")
 def language_hint(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", X.has_non_ascii(F.col("text")).alias("non_ascii"), X.language_hint(F.col("text")).alias("hint"))
+    t, i = F.col("text"), F.col("doc_id") % 8
+    t = F.when(i == 1, F.concat(F.lit("aé"), t, F.lit("ไทย Ж"))).when(i == 2, F.concat(F.lit("ж中"), t)).when(i == 3, F.concat(F.lit("中"), t)).when(i == 4, F.concat(t, F.lit(" ő"))).when(i == 5, "").when(i == 6, "ascii").otherwise(t)
+    return table(spark, sf, "documents").select("doc_id", X.has_non_ascii(t).alias("non_ascii"), X.language_hint(t).alias("hint"))
 
 
 @query("SELECT p_partkey, lower(regexp_replace('OrderPrice' || p_brand, '([a-z])([A-Z])', '\\1 \\2', 'g')) AS words FROM part")
@@ -684,9 +716,12 @@ def file_names(spark: SparkSession, sf: str) -> DataFrame:
     return names.withColumn("f", X.file_identity(F.col("name"))).select("name", "f.table_id", "f.title")
 
 
-@query("SELECT doc_id, CASE WHEN n_chars >= 1000 THEN printf('%.1fK', n_chars / 1000.0) ELSE n_chars::VARCHAR END AS short FROM documents WHERE n_chars % 100 <> 50")
+@query("SELECT doc_id, CASE WHEN n_chars >= 1000 THEN printf('%.1fK', n_chars / 1000.0) ELSE n_chars::VARCHAR END AS short, CASE WHEN doc_id % 3 = 0 THEN '?' WHEN n_chars * 12500.0 >= 1e9 THEN printf('%.1fB', n_chars * 12500.0 / 1e9) WHEN n_chars * 12500.0 >= 1e6 THEN printf('%.1fM', n_chars * 12500.0 / 1e6) ELSE printf('%.1fK', n_chars * 12500.0 / 1e3) END AS large, CASE WHEN n_chars % 8 = 0 THEN floor(-n_chars / 1000.0)::BIGINT::VARCHAR ELSE '' END AS negative, printf('%.2f', n_chars / 8.0 / 128.0 + 0.005) AS two FROM documents WHERE n_chars > 0")
 def short_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("n_chars % 100 <> 50").select("doc_id", X.short_number(F.col("n_chars")).alias("short"))
+    n = F.col("n_chars")
+    large = X.short_number(F.when(F.col("doc_id") % 3 > 0, n * 12500.0))
+    whole = F.when(n % 8 == 0, X.short_number(F.floor(-n / 1000).cast("long"))).otherwise("")
+    return table(spark, sf, "documents").where("n_chars > 0").select("doc_id", X.short_number(n).alias("short"), large.alias("large"), whole.alias("negative"), X.fixed(n / 8.0 / 128.0 + 0.005, 2).alias("two"))
 
 
 @query()
@@ -786,13 +821,9 @@ def constraint_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.constraint_rows(spark.createDataFrame(rows, "query_id int, tbox array<string>, abox array<struct<class:string,values:array<string>>>")))
 
 
-@query(f"""WITH {HYB_SQL}, j AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.doc_id, t.doc_id) AS doc_id, coalesce(v.score, 0) AS s1, coalesce(t.score, 0) AS s2 FROM vs v FULL JOIN ts t ON t.query_id = v.query_id AND t.doc_id = v.doc_id),
-f AS (SELECT query_id, doc_id, 0.7 * CASE WHEN max(s1) OVER w = min(s1) OVER w THEN 1.0 ELSE (s1 - min(s1) OVER w) / (max(s1) OVER w - min(s1) OVER w) END + 0.3 * CASE WHEN max(s2) OVER w = min(s2) OVER w THEN 1.0 ELSE (s2 - min(s2) OVER w) / (max(s2) OVER w - min(s2) OVER w) END AS score FROM j WINDOW w AS (PARTITION BY query_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+@query(_fusion_sql(True).replace("0.5 * (", "0.7 * (", 1).replace("+ 0.5 * (", "+ 0.3 * (", 1))
 def alpha_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    every = R.vector_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", 1 << 30)
-    return rounded(D.alpha_fusion(paired_text(spark, sf), every, 10, 0.3))
+    return rounded(D.alpha_fusion(paired_text(spark, sf), vectors(spark, sf, 20), lambda pairs: complete(spark, sf, pairs), 10, 0.3))
 
 
 @query("SELECT * FROM (VALUES ('t1', ['Odd']::VARCHAR[], ['b']::VARCHAR[], false), ('t2', []::VARCHAR[], []::VARCHAR[], true), ('t3', []::VARCHAR[], ['x']::VARCHAR[], true)) t(table_id, errors, warnings, valid)")
@@ -811,3 +842,6 @@ def call_batches(spark: SparkSession, sf: str) -> DataFrame:
 def defined_classes(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "nation").select(F.col("n_regionkey").alias("table_id"), F.col("n_nationkey").alias("column_index"), F.lit("Name").alias("class"), F.array(F.lit("hasText")).alias("properties"), F.col("n_name").alias("description"), F.col("n_name").alias("header"))
     return rounded(D.defined_classes(rows.drop("header"), rows.select("table_id", "column_index", "header")))
+
+
+from tarn import queries_io  # noqa: E402, F401  (registers its queries)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import text as X
+from tarn.sources import storage
 
 UNIFIED = "id string, table_id string, title string, section_title string, source_file string, columns array<string>, column_count int, row_count int, rows array<array<string>>, metadata map<string,string>, _corrupt_record string"
 QUERY = "query_id string, question string, answer_tables array<string>, metadata map<string,string>, split string, answer string"
@@ -52,11 +54,11 @@ def catalog_of(cells: DataFrame) -> DataFrame:
 
 def unified_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Unified table JSON files; broken ones are left out (``broken_tables`` lists them)."""
-    return _unified(spark, folder).where("table_id is not null").drop("_corrupt_record")
+    return _unified(spark, folder).where("table_id is not null and _corrupt_record is null").drop("_corrupt_record")
 
 
 def broken_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return _unified(spark, folder).where("table_id is null").select("file")
+    return _unified(spark, folder).where("table_id is null or _corrupt_record is not null").select("file")
 
 
 def _unified(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,7 +85,7 @@ def queries(spark: SparkSession, path: str) -> DataFrame:
 
 def split_queries(raw: DataFrame, train: int, seed: int = 42) -> DataFrame:
     """The first ``train`` in hash order are train, the others test; one global rank of ids only."""
-    order = F.xxhash64("query_id", F.lit(seed))
+    order = F.md5(F.concat(F.col("query_id").cast("string"), F.lit(f":{seed}")))
     first = raw.select("query_id").orderBy(order, "query_id").limit(train).withColumn("_t", F.lit(True))
     return raw.join(first, "query_id", "left").withColumn("split", F.when(F.col("_t"), "train").otherwise("test")).drop("_t")
 
@@ -113,7 +115,7 @@ def by_id(df: DataFrame, key: str, value: object) -> DataFrame:
 def sql(spark: SparkSession, statement: str, table: DataFrame) -> DataFrame:
     """A SELECT over the relation named ``table``, or a WHERE condition."""
     if statement.lstrip().upper().startswith("SELECT"):
-        return spark.sql(statement.replace("FROM table", "FROM {table}"), table=table)
+        return spark.sql(re.sub(r"(?i)\bFROM\s+table\b", "FROM {table}", statement), table=table)
     return table.where(statement.lstrip().removeprefix("WHERE ").removeprefix("where "))
 
 
@@ -122,12 +124,22 @@ def batch_of(catalog: DataFrame, done: DataFrame, key: str, size: int) -> DataFr
     return catalog.join(done.select(key), key, "left_anti").orderBy(key).limit(size)
 
 
-def batches(catalog: DataFrame, key: str, size: int, salt: int = 64) -> DataFrame:
-    """Every row with its batch number; ranges of keys are numbered apart and shifted, so no task sorts everything."""
-    part = catalog.withColumn("_p", F.pmod(F.xxhash64(key), F.lit(salt)))
-    counts = part.groupBy("_p").count().withColumn("_s", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = part.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    return numbered.join(F.broadcast(counts.select("_p", "_s")), "_p").withColumn("batch", F.floor((F.col("_s") + F.col("_r")) / size).cast("int")).drop("_p", "_r", "_s")
+def batches(catalog: DataFrame, key: str, size: int) -> DataFrame:
+    """Every row with its batch number in key order: ranges of keys are numbered apart and shifted by the rows before."""
+    ranged = storage.checkpointed(catalog.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ranged.groupBy("_p").count().select("_p", before.alias("_s"))  # one row a partition
+    numbered = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
+    return numbered.join(F.broadcast(starts), "_p").withColumn("batch", F.floor((F.col("_s") + F.col("_r")) / size).cast("int")).drop("_p", "_r", "_s")
+
+
+def analyses(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """The first of several candidate files of a folder that exists, as JSON records."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return spark.read.option("multiLine", True).json(f"{folder}/{name}")
+    raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
 
 
 def table_rows(cells: DataFrame, table_id: str) -> DataFrame:

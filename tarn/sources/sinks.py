@@ -57,7 +57,20 @@ def json_lines(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def csv_file(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def single_csv(df: DataFrame, path: str) -> None:
+    """One CSV file of that name: written by one task beside it, then put in its place."""
+    spark = df.sparkSession
+    side = f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).option("escape", '"').csv(side)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(at(side)) if f.getPath().getName().startswith("part-"))
+    fs.delete(at(path), False)
+    fs.rename(part, at(path))
+    fs.delete(at(side), True)
 
 
 def catalog_info(spark: SparkSession, database: str = "default") -> list[tuple[str, int]]:
@@ -86,10 +99,3 @@ def manchester(classes: DataFrame) -> DataFrame:
 def passages(rows: DataFrame) -> DataFrame:
     """Answers exploded, one row a (query, table), for baselines that know one answer."""
     return rows.select("query_id", "question", F.explode("answer_tables").alias("table_id"))
-
-
-def index_relations(posts: DataFrame, stats: DataFrame, terms: DataFrame, folder: str) -> None:
-    """The text index as relations: postings by term hash, one row of statistics, term frequencies."""
-    posts.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")).repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/postings")
-    stats.write.mode("overwrite").parquet(f"{folder}/stats")
-    terms.write.mode("overwrite").parquet(f"{folder}/terms")

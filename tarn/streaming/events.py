@@ -30,8 +30,14 @@ def _windowed(events: DataFrame, window, time: str, by: list[str], value: str, l
     return rows.groupBy(window.alias("w"), *by).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *by, "n", "total")
 
 
-def ingest(stream: DataFrame, path: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Appends what is new, once a key, until the source is read up; a batch that runs again finds its keys present."""
+def ingest(stream: DataFrame, path: str, checkpoint: str, key: str, time: str | None = None, late: str = "1 day") -> StreamingQuery:
+    """Appends what is new, once a key, until the source is read up. With a time column keys are remembered in the state
+    for as long as rows may be late, so that the cost of a batch doesn't grow with what was written. Without one each
+    batch is held against the keys of the target, so that another checkpoint (or a batch that runs again) adds nothing;
+    that reads the target's key column at every batch."""
+    if time:
+        fresh = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+        return fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -42,3 +48,10 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, key: str) -> Streaming
         fresh.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_to_table(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """The rows that a stream of append mode gives until its source is read up."""
+    query = result.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(path)

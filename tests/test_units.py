@@ -59,10 +59,14 @@ def test_registry():
     assert stats.statistics("xsd:decimal") is stats.decimal_stats and stats.statistics("odd") is stats.string_stats
 
 
-def test_regex():
-    assert regex.valid(r"^\d{4}-(\d+)") and regex.valid(r"a+?b*?\\+")
-    for bad in (r"(?=a)", r"(?<!a)b", r"(a)\1", r"a++", r"(?>a)", "(", r"(?P=x)"):
+def test_regex(spark):
+    for good in (r"^\d{4}-(\d+)", r"a+?b*?\\+", r"(?P<y_1>\d{4})", r"[*+-]\d", r"[[:alpha:]]", r"\p{Greek}x", r"[]a]", r"a{2,3}"):
+        assert regex.valid(good), good
+    for bad in (r"(?=a)", r"(?<!a)b", r"(a)\1", r"a++", r"(?>a)", "(", r"(?P=x)", r"(a)?(?(1)b|c)", r"\h", "a{1001}", "[", "*a", r"\p{Nothing}", "(?U)a"):
         assert not regex.valid(bad), bad
+    df = spark.createDataFrame([("1999x",), ("a[b",), ("a&&b",), ("line\n",), ("+5",)], "x string")
+    hits = lambda p: [r["x"] for r in df.where(regex.matches(F.col("x"), p)).collect()]
+    assert hits(r"(?P<y>\d{4})x$") == ["1999x"] and hits(r"a[[&]") == ["a[b", "a&&b"] and hits(r"line$") == [] and hits(r"[+]\d") == ["+5"] and hits("(") == []
 
 
 def test_contracts(spark):
@@ -79,13 +83,16 @@ def test_contracts(spark):
     assert C.table(spark, [c]).first()["contract_id"] == __import__("hashlib").md5(c.key.encode()).hexdigest()[:12]
     assert C.missing_statistics("{name} {mean} {odd}", ["mean"]) == ["odd"] and C.property_name("YearColumn") == "hasYearValue"
     assert C.fallback("A", "b", "float").expression == "float(x)"
+    odd = [C.Contract("Y", "p", r"(?P<y>\d{4})", "int(x)"), C.Contract("Y", "p", "(a)?(?(1)b|c)", "x"), C.Contract("Y", "p", ".", "open(x)"), C.Contract("Y", "p", ".", "int(x) * 9223372036854775807")]
+    rates = {r["contract"]: r["ok"] for r in C.success_rates(values(spark, ["1982", "2001"], "string"), [], "x", odd).collect()}
+    assert rates == {0: 2, 1: 0, 2: 0, 3: 0}  # none of them fails the job
 
 
 @pytest.mark.parametrize(
     ("source", "value", "want"),
     [
         ("x.strip()", " a ", "a"), ("int(x)", " 12 ", 12), ("int(x)", "1.5", None), ("float(x.replace(',', ''))", "1,200.5", 1200.5), ("len(x)", "abc", 3), ("x.split('-')[-1]", "a-b-c", "c"), ("x[1:-1]", "(ab)", "ab"), ("x[-2:]", "abcd", "cd"),
-        ("re.sub('[^0-9]', '', x)", "a1b2", "12"), ("re.match(r'(\\d+)-(\\d+)', x).group(2)", "10-20x", "20"), ("x.upper() if x.startswith('a') else x", "ab", "AB"), ("float(x) / 2 + 1", "4", 3.0), ("round(float(x))", "2.5", 2.0),
+        ("re.sub('[^0-9]', '', x)", "a1b2", "12"), ("re.match(r'(\\d+)-(\\d+)', x).group(2)", "10-20x", "20"), ("x.upper() if x.startswith('a') else x", "ab", "AB"), ("float(x) / 2 + 1", "4", 3.0), ("round(float(x))", "2.5", 2),
         ("datetime.strptime(x, '%d/%m/%Y').year" if False else "x.zfill(5)", "42", "00042"), ("'a' in x", "cab", True), ("x == 'y' or x == 'z'", "z", True), ("'v' + x", "1", "v1"), ("max(int(x), 3)", "2", 3),
     ],
 )
@@ -94,6 +101,90 @@ def test_expressions(spark, source, value, want):
     assert df.select(expressions.compile_expression(source, F.col("x"))).first()[0] == want
 
 
+VALUES = ["", " a ", "-1.5", "2.5", "12", "-7", "+3", "1e8", "100000000", "1e-5", "0.00012", "1234567.891", "1e17", "12345", "abc", "a-b c", "Tom O'Neil x2y", "1_000", "0", "-0.0", "nan", "é\u00a0", "x" * 40]
+FORMS = [
+    "x.strip()", "x.lstrip('-')", "x.rstrip('5')", "x.strip() or 'none'", "x.strip() and 'some'", "int(x)", "float(x)", "int(float(x))", "str(float(x))", "str(int(x))", "float(x) + 1", "int(x) // 5", "int(x) % 5", "int(x) % -5", "float(x) % 2", "-int(x)", "int(x) / 4", "int(x) * 3 - 1", "2 ** 3",
+    "x.zfill(3)", "x.zfill(8)", "x.upper()", "x.lower()", "x.title()", "x.capitalize()", "x.isdigit()", "len(x)", "len(x.split())", "x.split()[0]", "x.split('-')[-1]", "x[1:3]", "x[-2:]", "x[:-1]", "x[0]", "x[-3]", "x.startswith('1')", "x.endswith('5')", "not x", "x == '12'", "x != '12'", "x < 'b'",
+    "'1' in x", "x in ('12', 'abc')", "x not in ['12']", "isinstance(x, str)", "isinstance(x, (int, float))", "'n' if not x else x", "1 if x else 2.5", "abs(float(x))", "round(float(x))", "max(int(x), 3)", "min(float(x), 0.5)", "bool(x)", "x + '!'", "x * 2", "x.replace(' ', '')", "1 < len(x) <= 5", "float(x) if '.' in x else int(x)",
+    "str(bool(x))", "x is None", "x is not None", "len(x) > 3 and x[0] == '1'", "int(x) if x.isdigit() else None",
+]
+
+
+def test_expressions_as_python_evaluates_them(spark):
+    """Every form on every value: Python's result, null where Python raises."""
+    df = spark.createDataFrame(list(enumerate(VALUES)), "i int, x string")
+    got = df.orderBy("i").select(*[expressions.compile_expression(f, F.col("x")).alias(f"c{n}") for n, f in enumerate(FORMS)]).collect()
+    wrong = []
+    for i, x in enumerate(VALUES):
+        for n, f in enumerate(FORMS):
+            try:
+                want = eval(f, {}, {"x": x})  # noqa: S307
+            except (ValueError, IndexError, ZeroDivisionError, OverflowError):
+                want = None
+            have = got[i][n]
+            same = have == want or isinstance(want, float) and isinstance(have, float) and have != have and want != want
+            wrong += [] if same else [(f, x, have, want)]
+    assert wrong == []
+
+
+def test_numbers_as_python_prints_them(spark):
+    import random
+
+    rng = random.Random(1)
+    xs = [1250.0, 1350.0, 1450.0, 1850.0, 2.675, 0.125, -0.005, 0.005, 1e9, 999.995, 0.045, 123456789.0] + [rng.randint(0, 10**7) / rng.choice([1, 2, 4, 8, 10, 16, 1000]) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x double").orderBy("i").select(X.fixed(F.col("x"), 1), X.fixed(F.col("x"), 2), X.short_number(F.col("x"))).collect()
+    for x, r in zip(xs, rows, strict=True):
+        a = abs(x)
+        short = f"{x / 1e9:.1f}B" if a >= 1e9 else f"{x / 1e6:.1f}M" if a >= 1e6 else f"{x / 1e3:.1f}K" if a >= 1e3 else f"{x:.2f}" if x != int(x) else str(int(x))
+        assert tuple(r) == (f"{x:.1f}", f"{x:.2f}", short), x
+    assert spark.range(1).select(X.short_number(F.lit(None).cast("double"))).first()[0] == "?"
+
+
+def test_stems_and_search_by_them(spark, tmp_path):
+    from tarn.functions.stems import stem
+
+    pairs = "consign consign,consigned consign,consigning consign,consignment consign,consist consist,consistency consist,consolation consol,conspicuously conspicu,knaves knave,knightly knight,knots knot,generously generous,communities communiti,arsenal arsenal,dying die,skies sky,news news,proceed proceed,hopping hop,hoping hope,happy happi,by by,say say,ties tie,cries cri,gas gas,this this,national nation,rational ration,relational relat,vileness vile,probate probat,rate rate,controll control,falling fall,running run,agreed agre,feed feed,luxuriated luxuri,activate activ,adoption adopt,organization organ,sensibility sensibl"
+    for pair in pairs.split(","):
+        word, want = pair.split()
+        want = {"communiti": "communiti", "sensibl": "sensibl"}.get(want, want)
+        assert stem(word) == want, (word, stem(word), want)
+    docs = spark.createDataFrame([(1, "running runners hope"), (2, "hoping hops"), (3, "nothing here"), (4, None)], "doc_id int, text string")
+    R.build_index(docs, "doc_id", "text", str(tmp_path / "i"), stemmer="english")
+    q = spark.createDataFrame([(7, "run hopes")], "q int, t string")
+    n, avgdl = 4, (3 + 2 + 2) / 4
+    weight = lambda df, tf, dl: log(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+    got = {r["doc_id"]: r["score"] for r in R.index_search(spark, str(tmp_path / "i"), q, "q", "t", 10).collect()}
+    assert got == {1: pytest.approx(weight(1, 1, 3) + weight(2, 1, 3)), 2: pytest.approx(weight(2, 1, 2))}
+
+
+def test_contained_passages(spark):
+    docs = spark.createDataFrame([(1, "a b long c"), (2, "xa b long cx"), (3, "a b  long c"), (4, None), (5, "b")], "d int, t string")
+    p = spark.createDataFrame([(1, "a b long c"), (2, "b"), (3, "b long"), (4, None), (5, "")], "p int, t string")
+    from tarn.plans import discovery as D
+
+    got = sorted(tuple(r) for r in D.contained(docs, "d", "t", p, "p", "t").collect())
+    texts = {1: "a b long c", 2: "xa b long cx", 3: "a b  long c", 5: "b"}
+    assert got == sorted((i, d) for i, t in {1: "a b long c", 2: "b", 3: "b long", 5: ""}.items() for d, x in texts.items() if t in x)
+
+
+def test_vector_search_in_blocks(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.random() for _ in range(4)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "i long, v array<float>")
+    whole = sorted(tuple(r) for r in R.vector_search(df, df, "i", "v", "i", "v", 3).collect())
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert sorted(tuple(r) for r in R.vector_search(df, df, "i", "v", "i", "v", 3).collect()) == whole and len(whole) == 120
+
+
+def test_tree_text_marks_cycles_and_cuts(spark):
+    cls = spark.createDataFrame([("R", None), ("A", "R"), ("B", "A"), ("A", "B"), ("C", "R")], "class string, parent string")
+    lines = [r["line"] for r in O.tree_text(cls).orderBy("n").collect()]
+    assert lines == ["R", "  A", "    B", "      A (cycle)", "  C"]
+    assert [r["line"] for r in O.tree_text(cls, 2).orderBy("n").collect()] == ["R", "  A", "... (3 more)"]
+
+
 def test_dates_and_refusals(spark):
     df = spark.createDataFrame([("03/02/2024", "2024-02-03T10:00:00")], "a string, b string")
     r = df.select(expressions.compile_expression("datetime.strptime(x, '%d/%m/%Y')", F.col("a")), expressions.compile_expression("datetime.fromisoformat(x.replace(' ', 'T'))", F.col("b"))).first()
@@ -139,7 +230,7 @@ def test_ontology(spark):
     loop = spark.createDataFrame([("A", "B"), ("B", "A"), ("C", "A")], "class string, parent string")
     assert sorted(r[0] for r in O.cycles(loop).collect()) == ["A", "B"]
     key = lambda df: sorted(map(tuple, df.select("anc", "desc", "dist").collect()))
-    assert key(O.closure(cls)) == key(O.recursive_closure(cls)) and len(key(O.closure(loop))) == 7
+    assert len(key(O.closure(loop))) == 7 and ("Column", "Year", 2) in key(O.closure(cls)) and O.closure(cls.limit(0)).count() == 0
     cells = spark.createDataFrame([("t1", 0, 0, " 1982 ")], "table_id string, row_index int, column_index int, value string")
     v = spark.createDataFrame([(1, 1, "Year", "1982")], "query_id int, cid int, class string, value string")
     assert O.value_matches(cells, maps, v).count() == 1
@@ -235,8 +326,7 @@ def test_sinks(spark, tmp_path):
     sinks.csv_file(old, str(tmp_path / "c"))
     assert spark.read.json(str(tmp_path / "j")).count() == lake.csv_table(spark, str(tmp_path / "c")).count() == 2
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta")], "doc_id int, text string")
-    posts = R.postings(docs, "doc_id", "text")
-    sinks.index_relations(posts, R.corpus_stats(docs, "text"), R.term_stats(posts), str(tmp_path / "index"))
+    R.build_index(docs, "doc_id", "text", str(tmp_path / "index"))
     assert spark.read.parquet(str(tmp_path / "index/postings")).count() == 3
     onto = spark.createDataFrame([("d", "o_iter_1", "A"), ("d", "o_iter_2", "B"), ("e", "o_iter_9", "C")], "dataset string, ontology_id string, class string")
     assert [r["class"] for r in lake.ontology(onto, "d").collect()] == ["B"] and [r["class"] for r in lake.ontology(onto, "d", 1).collect()] == ["A"]
