@@ -72,9 +72,12 @@ def build_index(docs: DataFrame, key: str, text: str, folder: str, stop: list[st
     row groups of its terms, and one row of statistics. The texts are read once."""
     words = docs.select(F.col(key).alias("doc_id"), X.tokens(F.col(text), stop).alias("words"))
     rows = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
-    if stemmer:
-        rows = stems.stemmed(rows, "term", stemmer)
-    posts = storage.checkpointed(rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    posts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    if stemmer:  # each different term once
+        posts = storage.checkpointed(posts)
+        roots = storage.checkpointed(stems.stemmed(posts.select("term").distinct().withColumn("root", F.col("term")), "root", stemmer))
+        posts = posts.join(roots, "term").groupBy("doc_id", F.col("root").alias("term")).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
+    posts = storage.checkpointed(posts)
     stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     posts = posts.where("term <> ''")
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))
