@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,10 +99,95 @@ def index_scores(spark: SparkSession, folder: str, queries: DataFrame, query_key
     return posts.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
-def index_search(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, query_text: str, k: int, keep_all: bool = False, stop: list[str] | None = None) -> DataFrame:
-    """The best k of each query from a stored index; with ``keep_all`` also those of score 0."""
-    scores = index_scores(spark, folder, queries, query_key, query_text, stop)
-    return ranked(scores if keep_all else scores.where("score > 0"), k)
+def index_pair_scores(spark: SparkSession, folder: str, pairs: DataFrame, queries: DataFrame, query_key: str, query_text: str, stop: list[str] | None = None) -> DataFrame:
+    """query_id, doc_id, score of stated pairs that share a term."""
+    terms = query_terms(queries, query_key, query_text, stop).join(pairs.select("query_id", "doc_id").distinct(), "query_id")
+    posts = spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "weight")
+    return terms.join(posts, ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+
+
+#: Cells of the matrix of documents and queries, and pairs of postings and queries, that a task holds at once.
+CELLS, PAIRS = 1 << 22, 1 << 21
+
+
+def _best(rows: np.ndarray, terms: np.ndarray, weight: np.ndarray, begin: np.ndarray, query: np.ndarray, often: np.ndarray, queries: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document (from 0), query and score of the best k of each query, and those tied with the k-th, over postings (document,
+    term, weight); a term's queries stand from begin[term] to begin[term + 1]."""
+    docs = int(rows[-1]) + 1 if len(rows) else 0
+    score = np.zeros(docs * queries)
+    size = begin[terms + 1] - begin[terms]
+    upto = np.concatenate(([0], np.cumsum(size)))
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, "right")) - 1)
+        n = size[at:to]
+        place = np.arange(n.sum()) + np.repeat(begin[terms[at:to]] - (upto[at:to] - upto[at]), n)
+        score += np.bincount(np.repeat(rows[at:to], n) * queries + query[place], np.repeat(weight[at:to], n) * often[place], docs * queries)
+        at = to
+    score = np.round(score.reshape(docs, queries), 9)
+    least = np.partition(score, docs - k, axis=0)[docs - k] if docs > k else np.zeros(queries)
+    d, q = np.nonzero((score >= least) & (score > 0))
+    return d, q, score[d, q]
+
+
+def index_search(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, query_text: str, k: int | None, keep_all: bool = False, stop: list[str] | None = None) -> DataFrame:
+    """The best k of each query from a stored index; with ``keep_all`` or without k every scored pair. The queries go
+    through the driver a block at a time. Postings of a block's terms are dealt by document; a task adds up its documents'
+    scores as arrays and passes on the best k of each query, so no pair of query and document is shuffled."""
+    if keep_all or k is None:
+        scores = index_scores(spark, folder, queries, query_key, query_text, stop)
+        return ranked(scores if keep_all else scores.where("score > 0"), k)
+    terms = query_terms(queries, query_key, query_text, stop)
+    stemmer = spark.read.parquet(f"{folder}/stats").first()["stemmer"]
+    if stemmer:
+        terms = stems.stemmed(terms, "term", stemmer).groupBy("query_id", "term").agg(F.sum("qtf").alias("qtf"))
+    posts = spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "weight")
+    kinds = terms.schema["query_id"].dataType.simpleString(), posts.schema["doc_id"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+
+    def search(ids: list, begin: np.ndarray, query: np.ndarray, often: np.ndarray):
+        most = max(1, CELLS // len(ids))
+
+        def some(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held)
+            names = t.column("doc_id").combine_chunks().dictionary_encode()
+            rows, term, weight = names.indices.to_numpy(), t.column("t").to_numpy(), t.column("weight").to_numpy()
+            for at in range(0, len(names.dictionary), most):  # rows are sorted by document
+                i, j = np.searchsorted(rows, [at, at + most])
+                d, q, score = _best(rows[i:j] - at, term[i:j], weight[i:j], begin, query, often, len(ids), k)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q]), names.dictionary.take(pa.array(d + at)), pa.array(score)], ["query_id", "doc_id", "score"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                last = batch.column("doc_id")[batch.num_rows - 1]
+                cut = pc.index(batch.column("doc_id"), last).as_py()  # the last document may go on
+                if sum(b.num_rows for b in held) + cut > PAIRS // 2 and (cut or held and held[-1].column("doc_id")[held[-1].num_rows - 1] != last):
+                    yield from some([*held, batch.slice(0, cut)])
+                    held = [batch.slice(cut)]
+                else:
+                    held.append(batch)
+            if held:
+                yield from some(held)
+
+        return run
+
+    out, left = None, terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "qtf")).alias("terms")).toLocalIterator()
+    block = list(islice(left, QUERY_BLOCK))
+    while block:
+        rows = sorted((t["term"], q, t["qtf"]) for q, r in enumerate(block) for t in r["terms"])
+        different = sorted({t for t, _, _ in rows})
+        number = {t: i for i, t in enumerate(different)}
+        begin = np.searchsorted(np.array([number[t] for t, _, _ in rows]), np.arange(len(different) + 1))
+        known = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": different, "t": np.arange(len(different))}), "term string, t long"))  # the terms of one block of queries
+        mine = posts.join(known, "term").select("doc_id", "t", "weight").repartition(F.col("doc_id")).sortWithinPartitions("doc_id")
+        part = mine.mapInArrow(search([r["query_id"] for r in block], begin, np.array([q for _, q, _ in rows]), np.array([n for _, _, n in rows], np.float64)), schema)
+        block = list(islice(left, QUERY_BLOCK)) if len(block) == QUERY_BLOCK else []
+        part = storage.checkpointed(part) if block or out is not None else part
+        out = part if out is None else out.unionByName(part)
+    return ranked(spark.createDataFrame([], schema) if out is None else out, k)
 
 
 def query_terms(queries: DataFrame, key: str, text: str, stop: list[str] | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from tarn.operators import evaluation as E
 from tarn.operators import ontology as O
 from tarn.operators import profile as P
 from tarn.operators import retrieval as R
+from tarn.sources import storage
 
 #: Characters of a context, columns of one model call, confidence of a class that says nothing.
 CONTEXT, PER_CALL, VAGUE = 2000, 32, 0.3
@@ -166,13 +167,14 @@ def confident(hits: DataFrame, types: DataFrame) -> DataFrame:
     return hits.join(types.select("doc_id", "fallback_only"), "doc_id", "left").withColumn("confidence", F.when(F.col("fallback_only"), VAGUE).otherwise(1.0))
 
 
-def alpha_fusion(text: DataFrame, vector: DataFrame, complete: Callable[[DataFrame], DataFrame], k: int, alpha: float = 0.5, depth: int = 20) -> DataFrame:
-    """alpha minmax(text) + (1 - alpha) minmax(vector) over the best ``depth`` of both lists; ``complete`` gives the vector
-    scores of stated pairs, for those that only the text found."""
-    a, b = R.ranked(vector, depth), R.ranked(text, depth)
-    missing = b.select("query_id", "doc_id").join(a.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    every = a.select("query_id", "doc_id", "score").unionByName(complete(missing))
-    fused = R.score_fusion(a, b, every, text, (1 - alpha, alpha), (True, True))
+Completion = Callable[[DataFrame], DataFrame]
+
+
+def alpha_fusion(text: DataFrame, vector: DataFrame, complete_text: Completion, complete_vector: Completion, k: int, alpha: float = 0.5) -> DataFrame:
+    """alpha minmax(text) + (1 - alpha) minmax(vector) over the candidates of both lists; the completions give the scores
+    of stated pairs, for those that only the other list has."""
+    pairs = storage.checkpointed(text.select("query_id", "doc_id").unionByName(vector.select("query_id", "doc_id")).distinct())
+    fused = R.score_fusion(vector, text, complete_vector(pairs), complete_text(pairs), (1 - alpha, alpha), (True, True))
     return R.ranked(fused.select("query_id", "doc_id", "score"), k)
 
 

@@ -61,15 +61,16 @@ bm AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id
 TRUTH_SQL = "truth AS (SELECT b.item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str, bool], str] = {}
 
 
-def bm25_index(spark: SparkSession, sf: str) -> str:
-    """The folder of the documents' text index, built once a session in the shared folder and searched from there."""
-    key = (spark.sparkContext.applicationId, sf)
+def bm25_index(spark: SparkSession, sf: str, paired: bool = False) -> str:
+    """The folder of the documents' text index (``paired``: of those that have a vector), built once a session in the
+    shared folder and searched from there."""
+    key = (spark.sparkContext.applicationId, sf, paired)
     if key not in _INDEXES:
         folder = f"{storage.shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
-        R.build_index(table(spark, sf, "documents"), "doc_id", "text", folder)
+        R.build_index(paired_documents(spark, sf) if paired else table(spark, sf, "documents"), "doc_id", "text", folder)
         _INDEXES[key] = folder
     return _INDEXES[key]
 
@@ -171,9 +172,21 @@ def vectors(spark: SparkSession, sf: str, k: int) -> DataFrame:
     return R.vector_search(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", "vec_id", "embedding", k)
 
 
-def paired_text(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    return R.bm25_scores(docs, docs.where("doc_id % 50 = 0"), "doc_id", "text", "doc_id", "text")
+def paired_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+
+
+def paired_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return paired_documents(spark, sf).where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+
+
+def paired_text(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return R.index_search(spark, bm25_index(spark, sf, True), paired_queries(spark, sf), "query_id", "text", k)
+
+
+def completed_text(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
+    """Text scores of stated pairs."""
+    return R.index_pair_scores(spark, bm25_index(spark, sf, True), pairs, paired_queries(spark, sf), "query_id", "text")
 
 
 @query(f"WITH {VEC_SQL} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM vr WHERE rank <= 10")
@@ -197,12 +210,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
 
 @query(_rrf_sql(0.5))
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(R.unified_search("hybrid", 10, paired_text(spark, sf), vectors(spark, sf, 20)), 9)
+    return rounded(R.unified_search("hybrid", 10, paired_text(spark, sf, 20), vectors(spark, sf, 20)), 9)
 
 
 @query(_rrf_sql(1.0))
 def rrf_unweighted(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = vectors(spark, sf, 20), R.ranked(paired_text(spark, sf), 20)
+    a, b = vectors(spark, sf, 20), paired_text(spark, sf, 20)
     return rounded(R.ranked(R.rrf(a, b, (1.0, 1.0)).select("query_id", "doc_id", "score"), 10), 9)
 
 
@@ -221,10 +234,10 @@ def complete(spark: SparkSession, sf: str, pairs: DataFrame) -> DataFrame:
 
 
 def _fused(spark: SparkSession, sf: str, scale: tuple[bool, bool]) -> DataFrame:
-    a, scores = vectors(spark, sf, 20), paired_text(spark, sf)
-    b = R.ranked(scores, 20)
-    every = complete(spark, sf, a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")))
-    return rounded(R.ranked(R.score_fusion(a, b, every, scores, scale=scale).select("query_id", "doc_id", "score"), 10))
+    a, b = vectors(spark, sf, 20), paired_text(spark, sf, 20)
+    pairs = storage.checkpointed(a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")).distinct())
+    fused = R.score_fusion(a, b, complete(spark, sf, pairs), completed_text(spark, sf, pairs), scale=scale)
+    return rounded(R.ranked(fused.select("query_id", "doc_id", "score"), 10))
 
 
 @query(_fusion_sql(False))
@@ -247,7 +260,7 @@ def rerank_partition(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CASE WHEN ra IS NULL AND rb IS NULL THEN 'both_miss' WHEN coalesce(ra, 1073741824) < coalesce(rb, 1073741824) THEN 'first_wins' WHEN coalesce(ra, 1073741824) > coalesce(rb, 1073741824) THEN 'second_wins' ELSE 'tie' END AS outcome, count(*) AS n FROM a FULL JOIN b USING (query_id) GROUP BY 1""")
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     best = lambda r: r.where("doc_id % 7 = 0").groupBy("query_id").agg(F.min("rank").alias("rank"))
-    return rounded(E.comparison(best(vectors(spark, sf, 20)), best(R.ranked(paired_text(spark, sf), 20))))
+    return rounded(E.comparison(best(vectors(spark, sf, 20)), best(paired_text(spark, sf, 20))))
 
 
 # -- similarity and sampling -----------------------------------------------------------------------------------------
@@ -823,7 +836,7 @@ def constraint_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_fusion_sql(True).replace("0.5 * (", "0.7 * (", 1).replace("+ 0.5 * (", "+ 0.3 * (", 1))
 def alpha_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(D.alpha_fusion(paired_text(spark, sf), vectors(spark, sf, 20), lambda pairs: complete(spark, sf, pairs), 10, 0.3))
+    return rounded(D.alpha_fusion(paired_text(spark, sf, 20), vectors(spark, sf, 20), lambda pairs: completed_text(spark, sf, pairs), lambda pairs: complete(spark, sf, pairs), 10, 0.3))
 
 
 @query("SELECT * FROM (VALUES ('t1', ['Odd']::VARCHAR[], ['b']::VARCHAR[], false), ('t2', []::VARCHAR[], []::VARCHAR[], true), ('t3', []::VARCHAR[], ['x']::VARCHAR[], true)) t(table_id, errors, warnings, valid)")
