@@ -70,23 +70,26 @@ def weights_for(docs: DataFrame, key: str, text: str, terms: DataFrame, stop: li
 
 
 def build_index(docs: DataFrame, key: str, text: str, folder: str, stop: list[str] | None = None, stemmer: str | None = None) -> None:
-    """Writes the index of a corpus: postings (term, doc_id, tf, dl, idf, weight) sorted by term, so that a search reads the
-    row groups of its terms, and one row of statistics. The texts are read once."""
+    """Writes the index of a corpus: postings (term, doc_id, tf, dl, idf, weight) and one row of statistics. Postings are
+    dealt by document, so that a frequent term fills no file, and sorted by term in each file, so that a search reads the
+    row groups of its terms. The texts are read once; counts are written before they are weighted."""
+    spark = docs.sparkSession
     words = docs.select(F.col(key).alias("doc_id"), X.tokens(F.col(text), stop).alias("words"))
     rows = words.select("doc_id", F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "words")).alias("term"))
-    posts = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{folder}/counts")
+    posts = spark.read.parquet(f"{folder}/counts")
     if stemmer:  # each different term once
-        posts = storage.checkpointed(posts)
-        roots = storage.checkpointed(stems.stemmed(posts.select("term").distinct().withColumn("root", F.col("term")), "root", stemmer))
+        roots = stems.stemmed(posts.select("term").distinct().withColumn("root", F.col("term")), "root", stemmer)
         posts = posts.join(roots, "term").groupBy("doc_id", F.col("root").alias("term")).agg(F.sum("tf").alias("tf"), F.max("dl").alias("dl"))
-    posts = storage.checkpointed(posts)
     stats = posts.where("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     posts = posts.where("term <> ''")
     norm = F.lit(K1) * (1 - B + B * F.col("dl") / F.col("avgdl"))
     idf = bm25_idf(F.col("n"), F.col("df"))
     weighted = posts.join(term_stats(posts), "term").join(F.broadcast(stats)).select("term", "doc_id", "tf", "dl", idf.alias("idf"), (idf * F.col("tf") / (F.col("tf") + norm)).alias("weight"))  # stats is one row
-    weighted.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    weighted.repartition(F.col("doc_id")).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
     stats.withColumn("stemmer", F.lit(stemmer)).write.mode("overwrite").parquet(f"{folder}/stats")
+    counts = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/counts")
+    counts.getFileSystem(spark._jsc.hadoopConfiguration()).delete(counts, True)
 
 
 def index_scores(spark: SparkSession, folder: str, queries: DataFrame, query_key: str, query_text: str, stop: list[str] | None = None) -> DataFrame:
