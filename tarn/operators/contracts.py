@@ -7,6 +7,7 @@ into one CASE over the contract id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from math import floor, log
 
@@ -207,3 +208,31 @@ def missing_statistics(template: str, known: list[str]) -> list[str]:
 
 def property_name(primitive_class: str) -> str:
     return f"has{primitive_class.removesuffix('Column')}Value"
+
+
+def reused(cells: DataFrame, by: list[str], value: str, stored: list[Contract], accept: float = ACCEPT) -> DataFrame:
+    """by, contract (index of the stored one), rate: of each column the stored contract that fits it best, where one fits
+    enough of it; the more used and then the earlier on ties. One pass over the cells for all columns and contracts."""
+    rates = success_rates(cells, by, value, stored).where(F.col("rate") >= accept)
+    hits = F.element_at(F.array(*[F.lit(c.hits) for c in stored]), F.col("contract") + 1)
+    order = Window.partitionBy(*by).orderBy(F.desc("rate"), hits.desc(), "contract")
+    return rates.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*by, "contract", "rate")
+
+
+def improved(cells: DataFrame, value: str, pos: str, propose: Callable[[list[str]], list[Contract]], tries: int = 3, accept: float = ACCEPT) -> tuple[Contract | None, float]:
+    """The best contract of a column after at most so many proposals: each is given values that the last best one doesn't fit
+    (the first ones of the column at the start). The best so far is kept; it stops once one fits enough."""
+    best, rate = None, 0.0
+    feedback = [r[0] for r in cells.where(~X.blank(F.col(value))).orderBy(pos, value).limit(15).select(value).collect()]
+    for _ in range(tries):
+        candidates = propose(feedback)
+        if not candidates:
+            break
+        got = {r["contract"]: r["rate"] for r in success_rates(cells, [], value, candidates).collect()}
+        at = max(got, key=lambda j: (got[j], -j), default=None)
+        if at is not None and got[at] > rate:
+            best, rate = candidates[at], got[at]
+        if rate >= accept or best is None:
+            break
+        feedback = [r["value"] for r in error_samples(cells, value, pos, best, 15).collect()]
+    return (best, rate) if best is not None and rate >= accept else (None, rate)

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tarn.functions import stems
 from tarn.functions import text as X
@@ -147,6 +148,7 @@ def index_search(spark: SparkSession, folder: str, queries: DataFrame, query_key
     posts = spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "weight")
     kinds = terms.schema["query_id"].dataType.simpleString(), posts.schema["doc_id"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    id_type = to_arrow_type(terms.schema["query_id"].dataType)
 
     def search(ids: list, begin: np.ndarray, query: np.ndarray, often: np.ndarray):
         most = max(1, CELLS // len(ids))
@@ -158,7 +160,7 @@ def index_search(spark: SparkSession, folder: str, queries: DataFrame, query_key
             for at in range(0, len(names.dictionary), most):  # rows are sorted by document
                 i, j = np.searchsorted(rows, [at, at + most])
                 d, q, score = _best(rows[i:j] - at, term[i:j], weight[i:j], begin, query, often, len(ids), k)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q]), names.dictionary.take(pa.array(d + at)), pa.array(score)], ["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q], id_type), names.dictionary.take(pa.array(d + at)), pa.array(score)], ["query_id", "doc_id", "score"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -263,6 +265,7 @@ def vector_search(items: DataFrame, queries: DataFrame, item_key: str, item_vec:
     rows = items.select(F.col(item_key).alias("i"), F.col(item_vec).alias("v")).where("v is not null")
     kinds = wanted.schema["q"].dataType.simpleString(), rows.schema["i"].dataType.simpleString()
     schema = f"query_id {kinds[0]}, doc_id {kinds[1]}, score double"
+    id_type = to_arrow_type(wanted.schema["q"].dataType)
 
     def search(ids: list, matrix: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +276,7 @@ def vector_search(items: DataFrame, queries: DataFrame, item_key: str, item_vec:
                 names = np.array(batch.column("i").to_pylist())
                 order = np.lexsort((np.broadcast_to(names, score.shape), -score))[:, :k]
                 q = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column("i").take(pa.array(order.ravel())), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], id_type), batch.column("i").take(pa.array(order.ravel())), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "doc_id", "score"])
 
         return run
 

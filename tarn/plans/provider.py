@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.sources import storage
+
 
 class Provider(Protocol):
     name: str
@@ -81,6 +84,48 @@ def embedded(rows: DataFrame, key: str, text: str, provider: Provider) -> DataFr
     return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, embedding array<double>")
 
 
+class Stopped(RuntimeError):
+    """Too many calls failed one after another."""
+
+
+def called(prompts: DataFrame, model: str, call: Callable[[str], str], cache: str | None = None, attempts: int = 3, pause: float = 0.0, in_row: int = 10) -> DataFrame:
+    """key, answer, error of every different prompt (column ``prompt``). Answers in the relation at ``cache`` are taken from
+    there, and new ones are added to it; a call is tried again after a pause that doubles; a task stops the job after so
+    many failures in a row, as a model that is down fails them all. Failed calls are not cached."""
+    spark = prompts.sparkSession
+    asked = prompts.select("prompt").distinct().withColumn("key", F.md5(F.concat(F.lit(f"{model}:"), "prompt")))
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache) if cache else None
+    known = spark.read.parquet(cache) if at and at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
+    new = asked.join(known.select("key"), "key", "left_anti") if known is not None else asked
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        failed = 0
+        for batch in batches:
+            rows = []
+            for key, prompt in zip(batch["key"], batch["prompt"], strict=True):
+                answer, error, wait = None, None, pause
+                for n in range(attempts):
+                    try:
+                        answer, error = call(prompt), None
+                        break
+                    except Exception as e:  # noqa: BLE001  (whatever a model's client raises)
+                        error = f"{type(e).__name__}: {e}"
+                        if n + 1 < attempts:
+                            time.sleep(wait)
+                            wait *= 2
+                failed = failed + 1 if error else 0
+                if failed >= in_row:
+                    raise Stopped(f"{failed} calls failed one after another; the last: {error}")
+                rows.append((key, answer, error))
+            yield pd.DataFrame(rows, columns=["key", "answer", "error"])
+
+    got = storage.checkpointed(new.select("key", "prompt").mapInPandas(run, "key string, answer string, error string"))
+    if cache:
+        got.where("error is null").select("key", "answer").write.mode("append").parquet(cache)
+    old = known.join(asked.select("key"), "key", "left_semi").select("key", "answer", F.lit(None).cast("string").alias("error")) if known is not None else None
+    return got if old is None else got.unionByName(storage.checkpointed(old))
+
+
 def error_share(results: DataFrame, most: float = 0.5, least: int = 20) -> None:
     """Raises if more than the given share of at least ``least`` results are errors (column ``error``)."""
     n, bad = results.agg(F.count("*"), F.count("error")).first()

@@ -16,6 +16,8 @@ from tarn.operators import ontology as O
 from tarn.operators import profile as P
 from tarn.operators import retrieval as R
 from tarn.plans import discovery as D
+from tarn.plans import helpers as H
+from tarn.plans import provider as V
 from tarn.queries import query, rounded, table
 from tarn.sources import lake, sinks, storage
 from tarn.streaming import events as T
@@ -364,3 +366,115 @@ def verbatim_answers(spark: SparkSession, sf: str) -> DataFrame:
     return D.contained(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
 
 
+
+
+# -- runs, votes, trees, baselines -----------------------------------------------------------------------------------
+
+
+@query("SELECT 'lake' AS dataset, 'bm25' AS method, doc_id AS query_id, n_chars AS rank FROM documents")
+def result_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return H.result_frame(table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("n_chars").alias("rank")), {"dataset": "lake", "method": "bm25"})
+
+
+@query("SELECT event_id, (props->>'$.k') AS k, NULL::VARCHAR AS none FROM events")
+def nested_values(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", H.nested(F.col("props"), "k").alias("k"), H.nested(F.col("props"), "a", "b").alias("none"))
+
+
+@query("SELECT c.c_mktsegment AS \"group\", n.n_name AS class, coalesce(any_value(CASE WHEN b > 0 THEN 1 ELSE 0 END) FILTER (x.k = n.n_nationkey AND k % 3 > 0), 0)::BIGINT AS vote FROM (SELECT DISTINCT c_mktsegment FROM customer) c, nation n LEFT JOIN (SELECT c_mktsegment, c_nationkey AS k, max(c_acctbal) AS b FROM customer GROUP BY 1, 2) x ON x.c_mktsegment = c.c_mktsegment AND x.k = n.n_nationkey GROUP BY 1, 2")
+def parsed_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies of voters that leave out some classes."""
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("class"))
+    votes = table(spark, sf, "customer").groupBy("c_mktsegment", "c_nationkey").agg((F.max("c_acctbal") > 0).cast("int").alias("v")).where("c_nationkey % 3 > 0").join(nation, "c_nationkey")
+    field = F.concat(F.lit("score_"), F.regexp_replace("class", r"\W", "_"))
+    replies = votes.groupBy(F.col("c_mktsegment").alias("group")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(field, "v")))).alias("reply"))
+    return rounded(H.parsed_votes(replies, nation))
+
+
+@query("SELECT n_nationkey, '**' || n_name || '**' || CASE WHEN n_regionkey = 0 THEN '' ELSE ': region ' || n_regionkey::VARCHAR END || CASE WHEN n_nationkey % 4 = 3 THEN '' ELSE ' [' || (n_nationkey % 4)::VARCHAR || '/5 votes, ' || (20 * (n_nationkey % 4))::VARCHAR || '%]' END AS line FROM nation")
+def voted_lines(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey") % 4
+    described = F.when(F.col("n_regionkey") > 0, F.concat(F.lit("region "), F.col("n_regionkey").cast("string")))
+    return table(spark, sf, "nation").select("n_nationkey", H.voted_line(F.col("n_name"), described, F.when(k < 3, k.cast("int")), F.lit(5)).alias("line"))
+
+
+@query("SELECT doc_id, lang AS name, CASE WHEN doc_id % 2 = 1 AND doc_id % 3 = 0 THEN 'own' WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source FROM documents")
+def collected_proposals(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("name"))
+    odd = d.where("doc_id % 2 = 1").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "own"))
+    return H.proposals({"even": d.where("doc_id % 2 = 0"), "odd": odd}).select("doc_id", "name", "source")
+
+
+@query("WITH c AS (SELECT n_regionkey::BIGINT AS iteration, n_nationkey AS pos, CASE n_nationkey % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'delete' ELSE 'merge' END AS action, n_name AS name, CASE WHEN n_nationkey % 3 = 2 THEN 'Column' END AS target FROM nation) SELECT iteration, count(*) FILTER (action = 'add') AS added, count(*) FILTER (action = 'delete') AS deleted, count(*) FILTER (action = 'merge') AS merged, string_agg('- ' || upper(action) || ' ' || name || coalesce(' -> ' || target, ''), chr(10) ORDER BY pos) AS log FROM c GROUP BY 1")
+def release_logs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey") % 3
+    changes = table(spark, sf, "nation").select(F.col("n_regionkey").alias("iteration"), F.col("n_nationkey").alias("at"), F.when(k == 0, "add").when(k == 1, "delete").otherwise("merge").alias("action"), F.col("n_name").alias("name"), F.when(k == 2, "Column").alias("target"))
+    return rounded(H.release_log(changes))
+
+
+@query("""WITH i AS (SELECT vec_id, lpad(label::VARCHAR, 2, '0') || lpad((vec_id % 3)::VARCHAR, 2, '0') AS c, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT vec_id, v, l AS level, c[1:2 * l] AS code FROM i, (SELECT unnest([0, 1, 2]) AS l)),
+x AS (SELECT code, generate_subscripts(v, 1) AS d, unnest(v) AS e FROM p), m AS (SELECT code, list(m ORDER BY d) AS centre FROM (SELECT code, d, avg(e) AS m FROM x GROUP BY 1, 2) GROUP BY 1)
+SELECT code, level::BIGINT AS level, count(*) AS items, round(avg(list_distance(v, centre)), 6) AS radius, round(avg(list_cosine_similarity(v, centre)), 6) AS cohesion FROM p JOIN m USING (code) GROUP BY 1, 2""")
+def cluster_shapes(spark: SparkSession, sf: str) -> DataFrame:
+    """Radius and cohesion of every node of a tree of two levels."""
+    code = F.concat(F.lpad(F.col("label").cast("string"), 2, "0"), F.lpad((F.col("vec_id") % 3).cast("string"), 2, "0"))
+    return rounded(H.node_shapes(table(spark, sf, "embeddings").withColumn("code", code), "code", "embedding"))
+
+
+@query("SELECT n_regionkey::BIGINT AS level, count(*) AS nodes, avg(n_nationkey::DOUBLE) FILTER (n_nationkey % 2 = 0) AS radius, round(avg(1.0 / (1 + n_nationkey)), 6) AS cohesion FROM nation GROUP BY 1")
+def level_averages(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    return rounded(H.level_averages(table(spark, sf, "nation").select(F.col("n_regionkey").alias("level"), F.when(k % 2 == 0, k.cast("double")).alias("radius"), (1.0 / (1 + k)).alias("cohesion"))))
+
+
+@query("WITH r AS (SELECT n_regionkey::VARCHAR AS table_id, n_nationkey::BIGINT AS row_index, 'key: ' || n_nationkey::VARCHAR || ' | name: ' || n_name AS summary, row_number() OVER (PARTITION BY n_regionkey ORDER BY md5(n_regionkey::VARCHAR || ':' || n_nationkey::VARCHAR || ':42'), n_nationkey) AS i FROM nation WHERE n_regionkey > 0) SELECT table_id, row_index, summary FROM r WHERE i <= 3")
+def row_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of tables as text, for tables that have none yet."""
+    n = table(spark, sf, "nation")
+    cells = n.select(F.col("n_regionkey").cast("string").alias("table_id"), F.col("n_nationkey").alias("row_index"), F.posexplode(F.array(F.col("n_nationkey").cast("string"), "n_name")).alias("column_index", "value"))
+    headers = cells.select("table_id", "column_index").distinct().withColumn("header", F.when(F.col("column_index") == 0, "key").otherwise("name"))
+    return rounded(H.row_summaries(cells, headers, 3, spark.createDataFrame([("0",)], "table_id string")))
+
+
+@query("SELECT count(DISTINCT CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END) AS tables FROM documents")
+def predicted_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions in two forms."""
+    ctxs = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.struct(F.col("source").alias("table_id")).alias("tag"))))
+    return H.predicted_tables(table(spark, sf, "documents").select(ctxs.alias("ctxs"), F.array(F.struct(F.col("lang").alias("table_id"))).alias("tags")))
+
+
+@query("SELECT o_custkey AS query_id, n_name AS table_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, n_name) AS rank FROM orders JOIN nation ON n_nationkey = o_orderkey % 40")
+def translated_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions under foreign ids, of which some are unknown."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("place"), (F.col("o_orderkey") % 40).cast("int").alias("foreign"))
+    return rounded(H.translated_answers(o, table(spark, sf, "nation").select(F.col("n_nationkey").alias("foreign"), F.col("n_name").alias("table_id"))))
+
+
+@query("WITH q AS (SELECT DISTINCT source AS table_id, CASE WHEN doc_id % 4 < 3 THEN 'Is ' || lang || '?' END AS question FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY md5(table_id || ':' || question || ':42')) AS i FROM q WHERE question IS NOT NULL) SELECT table_id, question FROM r WHERE i <= 3")
+def generated_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions from replies: well-formed, broken and without any."""
+    q, k = F.concat(F.lit('{"question": " Is '), F.col("lang"), F.lit('? "}')), F.col("doc_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit("["), q, F.lit(", "), q, F.lit("]"))).when(k == 1, q).when(k == 2, F.concat(F.lit("Sure: "), q, F.lit(" [broken"))).otherwise("none")
+    return H.generated_queries(table(spark, sf, "documents").select(F.col("source").alias("table_id"), reply.alias("reply")), 3)
+
+
+@query("SELECT md5('m:' || lang) AS key, CASE WHEN lang = 'de' THEN NULL ELSE upper(lang) END AS answer, CASE WHEN lang = 'de' THEN 'ValueError: de' END AS error FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)")
+def cached_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls of a model that fails on one prompt; half of the answers are in the cache by then."""
+    at = folder(spark)
+
+    def call(prompt: str) -> str:
+        if prompt == "de":
+            raise ValueError(prompt)
+        return prompt.upper()
+
+    prompts = table(spark, sf, "documents").where("lang is not null").select(F.col("lang").alias("prompt"))
+    V.called(prompts.where("prompt < 'es'"), "m", call, at, attempts=2)
+    return V.called(prompts, "m", call, at, attempts=2)
+
+
+@query(r"""WITH x AS (SELECT event_type, count(*) FILTER (regexp_matches(props, '^\{"k": \d+\}')) / count(*) AS a, count(*) FILTER (regexp_matches(props, '^\{"k": \d\}')) / count(*) AS b FROM events WHERE trim(props) <> '' GROUP BY 1) SELECT event_type, CASE WHEN b >= a THEN 1 ELSE 0 END::BIGINT AS contract, greatest(a, b)::DOUBLE AS rate FROM x WHERE greatest(a, b) >= 0.85""")
+def reused_contracts(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored contracts taken again for columns that they fit; the more used one on ties."""
+    stored = [C.Contract("K", "k", r'\{"k": \d+\}', "x", hits=1), C.Contract("K", "k", r'\{"k": \d\}', "x", hits=5)]
+    return rounded(C.reused(table(spark, sf, "events"), ["event_type"], "props", stored))

@@ -379,3 +379,75 @@ def test_kernel_queries_take_the_whole_table(spark):
     got = {r["vec_id"]: r["cluster"] for r in library.QUERIES["spectral_clusters"](spark, sf).collect()}
     assert set(got) == set(labels)
     assert {labels[r["vec_id"]] for r in library.QUERIES["dpp_sample"](spark, sf).collect()} - {0, 1}
+
+
+def test_least_cost_assignment_is_the_optimum():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(15):
+        n, k, floor = int(rng.integers(4, 8)), int(rng.integers(2, 4)), float(rng.choice([0.0, 0.5, 1.0]))
+        x, c = rng.normal(size=(n, 2)), rng.normal(size=(k, 2))
+        d = np.linalg.norm(x[:, None] - c[None], axis=2)
+        most, least = -(-n // k) + int(rng.integers(0, 2)), int(floor * n / k)
+        best = min(sum(d[i, j] for i, j in enumerate(p)) for p in product(range(k), repeat=n) if all(least <= p.count(j) <= most for j in range(k)))
+        got = S.least_cost(x, c, most, floor)
+        size = np.bincount(got, minlength=k)
+        assert size.max() <= most and size.min() >= least and d[np.arange(n), got].sum() == pytest.approx(best)
+
+
+def test_run_helpers(spark, tmp_path):
+    from datetime import datetime
+
+    from tarn.plans import helpers as H
+
+    assert H.run_id("d", "m", datetime(2024, 1, 2, 3, 4, 5), "bm25", None) == "d_m_bm25_20240102_030405"
+    assert H.index_key(None) == "td_cd_cs" and H.index_key(" TD_cd_no_pc ") == "td_cd_no_pc" and H.sanitised("A b-c") == "a_b_c"
+    with pytest.raises(ValueError):
+        H.index_key("xx")
+    assert H.missing(spark, [str(tmp_path), str(tmp_path / "no")], ("no_table",)) == [str(tmp_path / "no"), "no_table"]
+    sims = spark.createDataFrame([(a, b, 1.0 if (a < 3) == (b < 3) else 0.01) for a in range(6) for b in range(a + 1, 6)], "i int, j int, sim double")
+    clusters = H.query_clusters(sims, 2)
+    assert len({frozenset(r["item"] for r in clusters.collect() if r["cluster"] == c) for c in (0, 1)} & {frozenset({0, 1, 2}), frozenset({3, 4, 5})}) == 2
+    pairs = H.cluster_pairs(clusters, sims, 2).collect()
+    assert len(pairs) == 4 and all((r["i"] < 3) == (r["j"] < 3) for r in pairs)
+    (tmp_path / "b.json").write_text('[{"a": 1}]')
+    assert lake.analyses(spark, str(tmp_path), ["a.json", "b.json"]).first()["a"] == 1
+    with pytest.raises(FileNotFoundError):
+        lake.analyses(spark, str(tmp_path), ["c.json"])
+
+
+def test_calls_are_cached_tried_again_and_stopped(spark, tmp_path):
+    marks, cache = tmp_path / "marks", str(tmp_path / "cache")
+    marks.mkdir()
+
+    def flaky(prompt):
+        n = len(list(marks.glob(f"{prompt}-*")))
+        (marks / f"{prompt}-{n}").touch()
+        if n == 0:
+            raise OSError("busy")
+        return prompt * 2
+
+    prompts = spark.createDataFrame([("a",), ("b",), ("a",)], "prompt string")
+    for _ in range(2):
+        assert sorted((r["answer"], r["error"]) for r in V.called(prompts, "m", flaky, cache).collect()) == [("aa", None), ("bb", None)]
+    assert len(list(marks.iterdir())) == 4  # two tries each, none the second time
+
+    def down(prompt):
+        raise OSError("down")
+
+    with pytest.raises(Exception, match="one after another"):
+        V.called(spark.range(40).selectExpr("cast(id as string) prompt").coalesce(1), "m", down, attempts=1).count()
+
+
+def test_contracts_improve_by_feedback(spark):
+    df = values(spark, ["1", "2", "x3", "4"], "string")
+    seen = []
+
+    def propose(feedback):
+        seen.append(feedback)
+        return [C.Contract("A", "p", r"x?\d" if "x3" in feedback and len(feedback) == 1 else r"\d", "x")]
+
+    best, rate = C.improved(df, "x", "pos", propose)
+    assert rate == 1.0 and best.pattern == r"x?\d" and seen == [["1", "2", "x3", "4"], ["x3"]]
+    assert C.improved(df, "x", "pos", lambda f: [])[0] is None
