@@ -128,9 +128,10 @@ def _best(rows: np.ndarray, terms: np.ndarray, weight: np.ndarray, begin: np.nda
         place = np.arange(n.sum()) + np.repeat(begin[terms[at:to]] - (upto[at:to] - upto[at]), n)
         score += np.bincount(np.repeat(rows[at:to], n) * queries + query[place], np.repeat(weight[at:to], n) * often[place], docs * queries)
         at = to
-    score = np.round(score.reshape(docs, queries), 9)
-    least = np.partition(score, docs - k, axis=0)[docs - k] if docs > k else np.zeros(queries)
-    d, q = np.nonzero((score >= least) & (score > 0))
+    score = score.reshape(docs, queries)
+    key = np.round(score, 9)  # sums in any order tie alike
+    least = np.partition(key, docs - k, axis=0)[docs - k] if docs > k else np.zeros(queries)
+    d, q = np.nonzero((key >= least) & (score > 0))
     return d, q, score[d, q]
 
 
