@@ -451,7 +451,7 @@ def contract_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return C.unmatched(table(spark, sf, "events"), "props", "event_id", CONTRACTS[1])
 
 
-@query()
+@query("WITH r(i, pattern, rate) AS (" + " UNION ALL ".join(f"SELECT {i}, '{c.pattern}', (count(*) FILTER ({ok}))::DOUBLE / count(*) FROM events WHERE trim(props) <> ''" for i, (c, ok) in enumerate(zip(CONTRACTS, _OK, strict=True))) + "), b AS (SELECT * FROM r ORDER BY rate DESC, i LIMIT 1) SELECT CASE WHEN rate >= 0.85 THEN pattern END AS pattern, rate FROM b")
 def contract_halving(spark: SparkSession, sf: str) -> DataFrame:
     best, rate = C.best_contract(table(spark, sf, "events"), "props", "event_id", CONTRACTS)
     return spark.createDataFrame([(best.pattern if best else None, float(rate))], "pattern string, rate double")
@@ -737,15 +737,20 @@ def short_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("n_chars > 0").select("doc_id", X.short_number(n).alias("short"), large.alias("large"), whole.alias("negative"), X.fixed(n / 8.0 / 128.0 + 0.005, 2).alias("two"))
 
 
-@query()
+@query(r"""WITH RECURSIVE x AS (SELECT conv_id, text, len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations), p(conv_id, i, block, n, text) AS (
+SELECT conv_id, i, 0::BIGINT, w, text FROM x WHERE i = 1 UNION ALL SELECT p.conv_id, x.i, CASE WHEN p.n = 0 OR p.n + x.w <= 60 THEN p.block ELSE p.block + 1 END, CASE WHEN p.n = 0 OR p.n + x.w > 60 THEN x.w ELSE p.n + x.w END, CASE WHEN p.n = 0 OR p.n + x.w > 60 THEN x.text ELSE p.text || ' | ' || x.text END FROM p JOIN x ON x.conv_id = p.conv_id AND x.i = p.i + 1)
+SELECT conv_id, block, arg_max(text, i) AS text FROM p GROUP BY 1, 2""")
 def text_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return P.packed(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", 60)
+    return rounded(P.packed(table(spark, sf, "conversations"), ["conv_id"], "turn", "text", 60))
 
 
-@query()
+_HEADERS = {"customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "part": "p_partkey p_name p_brand p_type p_size p_retailprice"}
+
+
+@query("WITH h AS (" + " UNION ALL ".join(f"SELECT '{t}' AS table_id, {i}::BIGINT AS column_index, '{c}' AS h" for t, names in _HEADERS.items() for i, c in enumerate(names.split())) + ") SELECT table_id, column_index, CASE WHEN regexp_matches(h, 'date|time|_ts$') THEN 'TemporalColumn' WHEN regexp_matches(h, 'price|cost|acctbal|amount|total') THEN 'PriceColumn' WHEN regexp_matches(h, 'qty|quantity|count|size') THEN 'QuantityColumn' WHEN regexp_matches(h, '(_|^)id$|key$') THEN 'IdentifierColumn' WHEN regexp_matches(h, 'name|title') THEN 'NameColumn' WHEN regexp_matches(h, 'url|uri|link') THEN 'UriColumn' ELSE 'Column' END AS class FROM h")
 def rule_classification(spark: SparkSession, sf: str) -> DataFrame:
     tables = spark.createDataFrame([(t, table(spark, sf, t).columns) for t in ("customer", "orders", "lineitem", "part")], "table_id string, columns array<string>")
-    return V.classified(P.headers(tables).withColumn("sample_values", F.array().cast("array<string>")), V.Rules())
+    return rounded(V.classified(P.headers(tables).withColumn("sample_values", F.array().cast("array<string>")), V.Rules()))
 
 
 # -- streams (their plans over the whole table) ----------------------------------------------------------------------
@@ -805,12 +810,30 @@ def search_text_modes(spark: SparkSession, sf: str) -> DataFrame:
     return D.search_texts(analyses(spark, sf))
 
 
-@query()
+_ANALYSES_SQL = """WITH a AS (SELECT item_id AS query_id, text AS query, CASE WHEN item_id % 3 > 0 THEN nullif(trim(text[1:40]), '') END AS t, CASE WHEN item_id % 2 > 0 THEN nullif(trim(text[41:80]), '') END AS c FROM benchmark), m AS (
+SELECT query_id, 'raw' AS mode, query AS text FROM a UNION ALL SELECT query_id, 'table_desc', coalesce(t, query) FROM a UNION ALL SELECT query_id, 'column_desc', coalesce(c, query) FROM a UNION ALL SELECT query_id, 'combined', coalesce(nullif(concat_ws(' ', t, c), ''), query) FROM a)"""
+
+
+def _metrics_sql(by: str, ranks: str) -> str:
+    hits = ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS hit_at_{k}" for k in E.KS)
+    return f"SELECT {by}, count(*) AS queries, count(rank) AS found, {hits}, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM {ranks} GROUP BY 1"
+
+
+@query(f"""{_ANALYSES_SQL}, tok AS (SELECT doc_id, {_TOK} AS ws FROM documents), st AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM tok), post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM tok) GROUP BY 1, 2), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+q AS (SELECT mode, query_id, term, count(*) AS qtf FROM (SELECT mode, query_id, unnest({_TOK}) AS term FROM m) GROUP BY 1, 2, 3),
+sc AS (SELECT mode, query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post USING (term) JOIN dfs USING (term), st GROUP BY 1, 2, 3),
+bm AS (SELECT mode, query_id, doc_id, row_number() OVER (PARTITION BY mode, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0), {TRUTH_SQL},
+r AS (SELECT mode, query_id, min(rank) AS rank FROM truth JOIN (SELECT DISTINCT mode, query_id FROM m) USING (query_id) LEFT JOIN (SELECT * FROM bm WHERE rank <= 100) USING (mode, query_id, doc_id) GROUP BY 1, 2) {_metrics_sql("mode", "r")}""")
 def mode_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.mode_metrics(table(spark, sf, "documents"), D.search_texts(analyses(spark, sf)), truth(spark, sf)))
 
 
-@query()
+@query(rf"""WITH x AS (SELECT doc_id, '[Column > ' || source || '] ' || text AS text FROM documents), v AS (SELECT 'as_is' AS variant, doc_id, text FROM x UNION ALL SELECT 'removed', doc_id, regexp_replace(text, '\[[^\]]+\]\s*', '', 'g') FROM x UNION ALL SELECT 'only', doc_id, array_to_string(regexp_extract_all(text, '\[([^\]]+)\]', 1), ' ') FROM x),
+tok AS (SELECT variant, doc_id, {_TOK} AS ws FROM v), st AS (SELECT variant, count(*) AS n, avg(len(ws)) AS avgdl FROM tok GROUP BY 1), post AS (SELECT variant, doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT variant, doc_id, len(ws) AS dl, unnest(ws) AS term FROM tok) GROUP BY 1, 2, 3), dfs AS (SELECT variant, term, count(*) AS df FROM post GROUP BY 1, 2),
+q AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY 1, 2),
+sc AS (SELECT variant, query_id, doc_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post USING (term) JOIN dfs USING (variant, term) JOIN st USING (variant) GROUP BY 1, 2, 3),
+bm AS (SELECT variant, query_id, doc_id, row_number() OVER (PARTITION BY variant, query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc WHERE score > 0), {TRUTH_SQL},
+r AS (SELECT variant, query_id, min(rank) AS rank FROM truth JOIN (SELECT DISTINCT variant FROM v) ON true LEFT JOIN (SELECT * FROM bm WHERE rank <= 10) USING (variant, query_id, doc_id) GROUP BY 1, 2) {_metrics_sql("variant", "r")}""")
 def marker_ablation(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("text", F.concat(F.lit("[Column > "), F.col("source"), F.lit("] "), F.col("text")))
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
