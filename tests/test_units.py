@@ -451,3 +451,23 @@ def test_contracts_improve_by_feedback(spark):
     best, rate = C.improved(df, "x", "pos", propose)
     assert rate == 1.0 and best.pattern == r"x?\d" and seen == [["1", "2", "x3", "4"], ["x3"]]
     assert C.improved(df, "x", "pos", lambda f: [])[0] is None
+
+
+def test_pair_similarities_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    v = {int(i): rng.normal(size=5) for i in rng.choice(100, 20, replace=False)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "k int, v array<double>").repartition(3)
+    got = {(r["i"], r["j"]): r["sim"] for r in S.pair_similarities(df, "k", "v").collect()}
+    want = {(a, b): float(v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])) for a in v for b in v if a < b}
+    assert got == pytest.approx(want) and S.pair_similarities(df.limit(0), "k", "v").count() == 0
+
+
+def test_cluster_levels(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=3) * 0.1 + [10 * (i % 3), 0, 0]).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, v array<double>")
+    for most in (S.NODE, 30):  # the second: the root by the distributed fit
+        monkeypatch.setattr(S, "NODE", most)
+        got = {r["k"]: r["code"] for r in S.cluster_levels(df, "k", "v", 3, 20, 2).collect()}
+        assert len(got) == 60 and {frozenset(i for i in got if got[i][:2] == c) for c in ("00", "01", "02")} == {frozenset(range(m, 60, 3)) for m in range(3)}
