@@ -463,6 +463,43 @@ def test_pair_similarities_in_blocks(spark, monkeypatch):
     assert got == pytest.approx(want) and S.pair_similarities(df.limit(0), "k", "v").count() == 0
 
 
+def test_pair_similarities_shuffle_no_pairs(spark, monkeypatch):
+    """Items are dealt a bounded number of times, and what another similarity adds needs no join of the pairs."""
+    from tarn import queries as library
+
+    monkeypatch.setattr(S, "BLOCK", 1)
+    monkeypatch.setattr(S, "GROUPS", 4, raising=False)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "k int, v array<double>")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = S.pair_similarities(df, "k", "v")
+        assert len(out.collect()) == 780
+        nodes, dealt = [out._jdf.queryExecution().executedPlan()], []
+        while nodes:
+            p = nodes.pop()
+            nodes += [p.children().apply(i) for i in range(p.children().size())]
+            dealt += [p.metrics().get("shuffleRecordsWritten").get().value()] if p.nodeName().startswith("Exchange") else []
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dealt and sum(dealt) <= 4 * 40
+    plan = library.QUERIES["sim_hybrid"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan
+
+
+def test_pair_similarities_of_odd_rows_and_with_others(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 2)
+    monkeypatch.setattr(S, "STRIP", 3, raising=False)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 1.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (None, [1.0, 0.0]), (5, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "k int, v array<double>")
+    said = lambda d: sorted((r["i"], r["j"], "none" if r["sim"] is None else f"{r['sim']:g}") for r in d.collect())
+    cos = {(1, 2): ["0", "0.707107"], (1, 5): ["-1"], (2, 5): ["-0.707107", "0"]}
+    want = [(i, j, s) for (i, j), x in cos.items() for s in x] + [(i, j, "none") for i, j in ((1, 3), (2, 3), (2, 3), (3, 4), (3, 5))] + [(i, j, "nan") for i, j in ((1, 4), (2, 4), (2, 4), (4, 5))]
+    assert said(S.pair_similarities(df, "k", "v", digits=6)) == sorted(want)
+    other = spark.createDataFrame([(2, 1, 1.0), (3, 5, 1.0), (7, 9, 1.0), (1, 5, None)], "i long, j long, sim double")
+    cos = {(1, 2): ["0.75", "0.926777"], (1, 5): ["-0.25"], (2, 5): ["-0.176777", "0"], (7, 9): ["0.75"]}
+    assert said(S.pair_similarities(df, "k", "v", digits=6, other=other, alpha=0.25)) == sorted([(i, j, s) for (i, j), x in cos.items() for s in x] + want[5:])
+
+
 def test_cluster_levels(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=3) * 0.1 + [10 * (i % 3), 0, 0]).tolist()) for i in range(60)]
