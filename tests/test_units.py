@@ -500,6 +500,26 @@ def test_pair_similarities_of_odd_rows_and_with_others(spark, monkeypatch):
     assert said(S.pair_similarities(df, "k", "v", digits=6, other=other, alpha=0.25)) == sorted([(i, j, s) for (i, j), x in cos.items() for s in x] + want[5:])
 
 
+def test_determinantal_draw_of_more_items_than_a_kernel_has(spark, monkeypatch):
+    from tarn import queries as library
+
+    monkeypatch.setattr(S, "KERNEL", 10)
+    picks = [r["vec_id"] for r in library.QUERIES["dpp_sample"](spark, "/root/testdata/sf0.001").collect()]
+    assert len(set(picks)) == 10
+    rng = np.random.default_rng(2)
+    sets = rng.normal(size=(50, 3, 4))
+    sets[0, 1] = sets[0, 0]
+    sets /= np.linalg.norm(sets, axis=2, keepdims=True)
+    want = [np.linalg.det(np.clip(x @ x.T, 0, 1) + 1e-6 * np.eye(3)) for x in sets]
+    assert S.dpp_chances(sets) == pytest.approx(np.array(want), abs=1e-4) and S.dpp_chances(sets)[0] < 1e-5
+    rows = [(i, [1.0, 0.0]) for i in range(30)] + [(30, [0.0, 1.0]), (31, [0.0, 1.0]), (32, None), (33, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "k long, v array<double>").repartition(3)
+    for seed in range(3):
+        a, b = sorted(S.dpp_items(df, "k", "v", 2, seed))
+        assert a < 30 and b in (30, 31)
+    assert sorted(S.dpp_items(df, "k", "v", 40)) == list(range(34)) and S.dpp_items(df.limit(0), "k", "v", 2) == []
+
+
 def test_cluster_levels(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=3) * 0.1 + [10 * (i % 3), 0, 0]).tolist()) for i in range(60)]
