@@ -520,6 +520,27 @@ def test_determinantal_draw_of_more_items_than_a_kernel_has(spark, monkeypatch):
     assert sorted(S.dpp_items(df, "k", "v", 40)) == list(range(34)) and S.dpp_items(df.limit(0), "k", "v", 2) == []
 
 
+def test_spectral_clusters_of_more_items_than_a_kernel_has(spark, monkeypatch):
+    from tarn import queries as library
+
+    sf = "/root/testdata/sf0.001"
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    ids, m = S.kernel(e, "vec_id", "embedding")
+    want = S.spectral((m + 1) / 2, 4)
+    monkeypatch.setattr(S, "KERNEL", 10)
+    got = {r["vec_id"]: r["cluster"] for r in library.QUERIES["spectral_clusters"](spark, sf).collect()}
+    assert sorted(got) == ids and len({(a, got[i]) for i, a in zip(ids, want, strict=True)}) == 4
+    x = np.random.default_rng(4).normal(size=(60, 2))
+    priced = S.least_cost(x, x[:3])
+    monkeypatch.setattr(S, "KERNEL", 4000)
+    d = np.linalg.norm(x[:, None] - x[None, :3], axis=2)
+    assert np.bincount(priced).tolist() == [20] * 3 and d[np.arange(60), priced].sum() == pytest.approx(d[np.arange(60), S.least_cost(x, x[:3])].sum())
+    odd = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(8)] + [(8, None), (9, [0.0, 0.0])], "k long, v array<double>")
+    got = S.spectral_items(odd, "k", "v", 2).collect()
+    assert sorted(r["k"] for r in got) == list(range(10)) and sorted(np.bincount([r["cluster"] for r in got])) == [5, 5]
+    assert S.spectral_items(odd.limit(0), "k", "v", 2).count() == 0
+
+
 def test_cluster_levels(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, (rng.normal(size=3) * 0.1 + [10 * (i % 3), 0, 0]).tolist()) for i in range(60)]
