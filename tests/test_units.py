@@ -5,6 +5,7 @@ import statistics
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -500,6 +501,34 @@ def test_pair_similarities_of_odd_rows_and_with_others(spark, monkeypatch):
     assert said(S.pair_similarities(df, "k", "v", digits=6, other=other, alpha=0.25)) == sorted([(i, j, s) for (i, j), x in cos.items() for s in x] + want[5:])
 
 
+def test_pair_similarities_move_an_item_once(spark, monkeypatch):
+    """Items are stored once, and what is dealt to tasks grows with the other's pairs alone."""
+    monkeypatch.setattr(S, "BLOCK", 1)
+    monkeypatch.setattr(S, "GROUPS", 4)
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(40)], "k int, v array<double>")
+    other = spark.createDataFrame([(1, 2, 1.0), (3, 30, 1.0)], "i long, j long, sim double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = S.pair_similarities(df, "k", "v", digits=6, other=other, alpha=0.25)
+        got = {(r["i"], r["j"]): r["sim"] for r in out.collect()}
+        nodes, dealt = [out._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            p = nodes.pop()
+            nodes += [p.children().apply(i) for i in range(p.children().size())]
+            dealt += p.metrics().get("shuffleRecordsWritten").get().value() if p.nodeName().startswith("Exchange") else 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert dealt == 4 * 5 // 2 + 2
+    cos = {(i, j): (1 + i * j) / np.sqrt((1 + i * i) * (1 + j * j)) for i in range(40) for j in range(i + 1, 40)}
+    assert got == pytest.approx({k: 0.25 * c + 0.75 * (k in ((1, 2), (3, 30))) for k, c in cos.items()}, abs=5.1e-7)
+    folder, counts = S._stored(df.selectExpr("cast(k as long) i", "v", "k % 3 g"), 3)
+    assert counts == {0: 14, 1: 13, 2: 13}
+    kept = pa.schema([("i", pa.int64()), ("v", pa.list_(pa.float64()))])
+    assert [len(S._group(folder, g, counts.get(g, 0), kept)) for g in range(4)] == [14, 13, 13, 0]
+    with pytest.raises(RuntimeError, match="13 of 14"):
+        S._group(folder, 1, 14, kept)
+
+
 def test_determinantal_draw_of_more_items_than_a_kernel_has(spark, monkeypatch):
     from tarn import queries as library
 
