@@ -529,6 +529,21 @@ def test_pair_similarities_move_an_item_once(spark, monkeypatch):
         S._group(folder, 1, 14, kept)
 
 
+def test_rounded_pairs_leave_in_order(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(30, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k int, v array<double>")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j): (v[i] @ v[j] + 1) / 2 for i in range(30) for j in range(i + 1, 30)}
+    sims = [r["sim"] for r in S.pair_similarities(df, "k", "v", True, 6).collect()]
+    assert sims == sorted(sims) and len(sims) == 435
+    monkeypatch.setattr(S, "STRIP", 40)  # several strips and runs, and two groups
+    monkeypatch.setattr(S, "ORDERED", 100)
+    monkeypatch.setattr(S, "BLOCK", 16)
+    rows = S.pair_similarities(df, "k", "v", True, 6).collect()
+    assert len(rows) == 435 and {(r["i"], r["j"]): r["sim"] for r in rows} == pytest.approx(want, abs=5.1e-7)
+
+
 def test_determinantal_draw_of_more_items_than_a_kernel_has(spark, monkeypatch):
     from tarn import queries as library
 
